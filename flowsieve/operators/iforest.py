@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
+from flowsieve.functions.arrow import matrix
 
 TREES = 300
 SAMPLE = 256
@@ -47,11 +49,11 @@ def tree_samples(rows: DataFrame, id_col: str, x: str, count: int, trees: int, s
 
 
 def _grow(seed: int, sample: int, depth: int):
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        x = np.vstack(pdf["x"].to_numpy())
+    def build(key, rows):
+        tree = key[0].as_py()
+        x = matrix(rows.column("x").combine_chunks())
         # Ties in the hash go by the values, so that the order of arrival never matters.
-        x = x[np.lexsort((*x.T, pdf["order"].to_numpy()))][:sample]
+        x = x[np.lexsort((*x.T, rows.column("order").to_numpy()))][:sample]
         rng = np.random.default_rng([seed, tree])
         nodes = (1 << (depth + 1)) - 1
         feature = np.zeros(nodes, np.int32)
@@ -60,9 +62,11 @@ def _grow(seed: int, sample: int, depth: int):
         todo = [(0, 0, np.arange(len(x)))]
         while todo:
             node, at, rows = todo.pop()
-            lo, hi = (x[rows].min(0), x[rows].max(0)) if len(rows) else (np.zeros(1), np.zeros(1))
-            free = np.flatnonzero(hi > lo)
-            if at == depth or len(rows) <= 1 or not len(free):
+            free = ()
+            if at < depth and len(rows) > 1:
+                lo, hi = x[rows].min(0), x[rows].max(0)
+                free = np.flatnonzero(hi > lo)
+            if not len(free):
                 value = at + expected_path(len(rows))
                 for _ in range(depth - at):
                     node = 2 * node + 1
@@ -76,7 +80,9 @@ def _grow(seed: int, sample: int, depth: int):
             right = x[rows, f] > t
             todo.append((2 * node + 2, at + 1, rows[right]))
             todo.append((2 * node + 1, at + 1, rows[~right]))
-        return pd.DataFrame({"tree": [tree], "sampled": [len(x)], "feature": [feature], "threshold": [threshold], "path": [path]})
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        values = [[tree], [len(x)], [feature], [threshold], [path]]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["tree", "sampled", "feature", "threshold", "path"])
 
     return build
 
@@ -87,7 +93,9 @@ def fit_forest(rows: DataFrame, id_col: str, x: str = "x", trees: int = TREES, s
     count = rows.count() if count is None else count
     sample = min(sample, count)
     depth = math.ceil(math.log2(max(sample, 2)))
-    return tree_samples(rows, id_col, x, count, trees, sample, seed).groupBy("tree").applyInPandas(_grow(seed, sample, depth), TREE_SCHEMA)
+    samples = tree_samples(rows, id_col, x, count, trees, sample, seed)
+    spread = samples.repartition(min(trees, rows.sparkSession.sparkContext.defaultParallelism), "tree")
+    return spread.groupBy("tree").applyInArrow(_grow(seed, sample, depth), TREE_SCHEMA)
 
 
 def forest_score(forest: DataFrame, x: Column) -> Column:

@@ -17,23 +17,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.functions.arrow import batch_columns
+
 # Given the columns of a batch and its feature matrix: 1 / 0 for a labelled row of an arm, -1 otherwise.
 LabelFn = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
 
 MAX_PASSES = 60
-TOLERANCE = 1e-7
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column as a two-dimensional array; all rows have equal length."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def batch_columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {}
-    for name, column in zip(batch.schema.names, batch.columns):
-        out[name] = matrix(column) if pa.types.is_list(column.type) else column.to_numpy(zero_copy_only=False)
-    return out
+# A Newton step of this relative size is still taken; what is left after it is its square.
+TOLERANCE = 1e-4
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
-from flowsieve.operators.logistic import matrix
+from flowsieve.functions.arrow import matrix
 
 FEATURES = 1024
 MAX_PASSES = 30

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import col, finite
+from flowsieve.functions.columns import WIDE, col, finite
 
 BASELINE = "baseline behavior"
 
@@ -28,6 +28,12 @@ class ColumnStats:
 
 def fit_stats(df: DataFrame, names: list[str]) -> ColumnStats:
     """One pass, one aggregate for all columns. Null, NaN and infinity do not count."""
+    if len(names) > WIDE:
+        long = df.select(F.posexplode(F.array(*[col(n).cast("double") for n in names])).alias("i", "v"))
+        value = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
+        found = {r[0]: r[1:] for r in long.groupBy("i").agg(F.avg(value), F.stddev_pop(value), F.count(F.lit(1))).collect()}
+        cells = [found.get(i, (None, None, 0)) for i in range(len(names))]
+        return ColumnStats(list(names), [c[0] for c in cells], [c[1] for c in cells], cells[0][2])
     aggs = [F.count(F.lit(1))]
     for name in names:
         aggs += [F.avg(finite(df, name)), F.stddev_pop(finite(df, name))]
@@ -60,6 +66,11 @@ def scaled(df: DataFrame, stats: ColumnStats) -> list[Column]:
 
 def with_scaled(df: DataFrame, stats: ColumnStats, name: str = "scaled") -> DataFrame:
     """Add the scaled features as one ``array<double>`` column."""
+    if len(stats.names) > WIDE:
+        values = F.array(*[col(n).cast("double") for n in stats.names])
+        model = F.array(*[F.struct(F.lit(m).cast("double").alias("m"), F.lit(s).cast("double").alias("s")) for m, s in zip(stats.mean, stats.std)])
+        one = lambda v, c: F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).when(c.s == 0, v * 0.0).otherwise((v - c.m) / c.s)
+        return df.withColumn(name, F.zip_with(values, model, one))
     return df.withColumn(name, F.array(*scaled(df, stats)))
 
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.operators.logistic import _step, _sums, batch_columns, sigmoid, with_intercept
+from flowsieve.functions.arrow import batch_columns
+from flowsieve.operators.logistic import _step, _sums, sigmoid, with_intercept
 from flowsieve.operators.metrics import scores_from_counts
 from flowsieve.operators.sampling import hash_cuts
 from flowsieve.plans.experiment import experiment_table

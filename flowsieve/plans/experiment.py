@@ -24,4 +24,4 @@ def experiment_table(df: DataFrame, features: list[str], truth: str, id_col: str
     out = with_folds(base, "truth", "id", folds, seed)
     if keys:
         out = out.withColumn("keys", F.array(*[order_key(f"{seed}:{k}", F.col("id")) for k in range(folds)]))
-    return durable(out, "experiment")
+    return durable(out, "experiment", stats.rows)

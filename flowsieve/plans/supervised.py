@@ -37,7 +37,7 @@ def logistic_scores(table: DataFrame, folds: int) -> DataFrame:
 
 def forest_scores(table: DataFrame, folds: int, trees: int = 300, seed: int = 42, max_depth: int = 30, parallelism: int = 2) -> DataFrame:
     """The same for a class-balanced random forest; folds train in ``parallelism`` driver threads."""
-    vectors = durable(table.select("id", "truth", "fold", "x"), "forest").withColumn("v", array_to_vector("x"))
+    vectors = table.select("id", "truth", "fold", "x").withColumn("v", array_to_vector("x"))
     sizes = {(r["fold"], r["truth"]): r["count"] for r in vectors.groupBy("fold", "truth").count().collect()}
 
     def one(k):

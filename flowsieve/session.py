@@ -40,10 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
+SMALL_ROWS = 20_000_000
+
+
+def durable(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later passes neither recompute it
-    nor depend on the executors that made it. The files go away when the driver ends."""
+    nor depend on the executors that made it. The files go away when the driver ends.
+
+    A small table may sit in a single input split. If ``rows`` says it is small, it is spread first, so that heavy passes
+    over it use all cores; a large table has enough splits and is not shuffled.
+    """
     spark = df.sparkSession
+    if rows is not None and rows <= SMALL_ROWS:
+        df = df.repartition(max(1, min(spark.sparkContext.defaultParallelism, rows // 250)))
     path = f"{shared_folder(spark)}/flowsieve-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
