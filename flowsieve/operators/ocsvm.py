@@ -1,8 +1,8 @@
 """One-class boundary with an RBF kernel, as a linear problem over random Fourier features.
 
 The dual asks for the shortest convex combination w of the rows' features in which no row weighs more than 1 / (nu * n).
-Each step finds the rows w scores lowest, moves w towards their mean with the best step length, and stops when
-the duality gap is small. A step is one pass over all rows; the state is w.
+Each pass over all rows finds those that w scores lowest; their mean joins the means found before, and w becomes the shortest
+convex combination of them all, a problem of a few dozen unknowns. It stops when the duality gap is small.
 """
 
 from __future__ import annotations
@@ -67,6 +67,23 @@ def _tail_sums(rows: DataFrame, frequencies: np.ndarray, weights: np.ndarray, th
     return np.array(partial.agg(Summarizer.metrics("sum").summary(F.col("v")).alias("s")).select(vector_to_array("s.sum")).first()[0])
 
 
+def shortest_mix(gram: np.ndarray, steps: int = 20_000) -> np.ndarray:
+    """Weights on the simplex that make the combination with this Gram matrix shortest."""
+    mix = np.full(len(gram), 1.0 / len(gram))
+    slope = gram @ mix
+    for _ in range(steps):
+        up = int(np.argmin(slope))
+        down = int(np.argmax(np.where(mix > 0, slope, -np.inf)))
+        if slope[down] - slope[up] <= 1e-10 * abs(slope[up]):
+            break
+        curve = gram[up, up] + gram[down, down] - 2.0 * gram[up, down]
+        step = min(mix[down], (slope[down] - slope[up]) / max(curve, 1e-300))
+        mix[up] += step
+        mix[down] -= step
+        slope += step * (gram[:, up] - gram[:, down])
+    return mix
+
+
 def fit_boundary(rows: DataFrame, id_col: str, count: int, gamma: float, nu: float, seed: int = 42, features: int = FEATURES,
                  max_passes: int = MAX_PASSES, tolerance: float = 1e-3) -> Boundary:
     """``rows`` holds ``x`` (array<double>). At most PROBE_ROWS rows, picked by hash, reach the driver, to guess how low a score is low."""
@@ -81,7 +98,7 @@ def fit_boundary(rows: DataFrame, id_col: str, count: int, gamma: float, nu: flo
 
     first = _tail_sums(rows, frequencies, np.zeros(features, np.float32), -1.0)
     weights = first[2 + features:] / first[0]
-    gap, passes = float("inf"), 1
+    means, gap, passes = [weights], float("inf"), 1
     while passes < max_passes:
         w32 = weights.astype(np.float32)
         sums = _tail_sums(rows, frequencies, w32, float(np.quantile(probe @ w32, nu)))
@@ -96,7 +113,9 @@ def fit_boundary(rows: DataFrame, id_col: str, count: int, gamma: float, nu: flo
         gap = float(weights @ move) / float(weights @ weights)
         if gap <= tolerance:
             break
-        weights = weights - min(1.0, float(weights @ move) / float(move @ move)) * move
+        means.append(target)
+        stack = np.array(means)
+        weights = shortest_mix(stack @ stack.T) @ stack
     return Boundary(frequencies, weights, mass, gap, passes)
 
 

@@ -23,7 +23,13 @@ class ColumnStats:
 
     def table(self, spark) -> DataFrame:
         """The same numbers as a table, to save and load as model state."""
-        return spark.createDataFrame(list(zip(self.names, self.mean, self.std)), "feature string, mean double, std double")
+        rows = [(i, n, m, s, self.rows) for i, (n, m, s) in enumerate(zip(self.names, self.mean, self.std))]
+        return spark.createDataFrame(rows, "place int, feature string, mean double, std double, rows bigint")
+
+    @staticmethod
+    def from_table(table: DataFrame) -> ColumnStats:
+        found = sorted(table.collect())
+        return ColumnStats([r["feature"] for r in found], [r["mean"] for r in found], [r["std"] for r in found], found[0]["rows"])
 
 
 def fit_stats(df: DataFrame, names: list[str]) -> ColumnStats:
