@@ -28,22 +28,26 @@ def expected_path(n: float) -> float:
 
 
 def tree_samples(rows: DataFrame, id_col: str, x: str, count: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, order, x): a few more rows per tree than needed, picked by hash. The tree keeps the first ones."""
+    """(tree, order, x): a few more rows per tree than needed, picked by hash. The tree keeps the first ones.
+
+    One hash draw per row serves as many trees as can share it without using up more than half of the rows. A large table needs
+    a single draw per row; a tiny one needs one per tree.
+    """
     spare = sample + 6 * math.sqrt(sample) + 6
-    unit = float(1 << 53)
+    rate = min(1.0, spare / count)
+    shared = min(trees, max(1, int(0.5 / rate)))
+    draws = math.ceil(trees / shared)
+    base = rows.select(col(id_col).alias("id"), col(x).alias("x"))
 
-    def uniform(*parts):
-        return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(unit)
+    def pick(g):
+        u = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), g), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        tree = g * shared + F.floor(u / rate).cast("int")
+        return F.when((u < shared * rate) & (tree < trees), tree)
 
-    base = rows.select(col(id_col).alias("id"), col(x).alias("x"))
-    rate = min(1.0, spare / count)
-    if trees * spare <= count / 10:
-        # Far more rows than all trees need: one draw per row picks at most one tree.
-        draw = base.withColumn("u", uniform(F.lit(seed), F.col("id"))).where(F.col("u") < trees * rate)
-        picked = draw.withColumn("tree", F.floor(F.col("u") / rate).cast("int"))
+    if draws == 1:
+        picked = base.withColumn("tree", pick(F.lit(0))).where(F.col("tree").isNotNull())
     else:
-        numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-        mine = F.filter(numbers, lambda t: uniform(F.lit(seed), F.col("id"), t) < rate)
+        mine = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), pick))
         picked = base.withColumn("tree", F.explode(mine))
     return picked.select("tree", F.xxhash64(F.lit(seed + 1), "id", "tree").alias("order"), "x")
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
+from flowsieve.functions.hashing import seeded_md5
+from flowsieve.session import durable
 
 # Flag column of each method, in the order that settles a tie for the best one.
 METHODS = {
@@ -16,7 +18,7 @@ METHODS = {
     "one_class_svm": "one_class_svm_flag",
     "ensemble": "is_anomaly",
 }
-SCORE_BUCKETS = 1024
+RANGE_ROWS, MAX_RANGES = 20_000, 4096
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -100,7 +102,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None)
     """Area under the ROC curve, ties counted half; null when a class is missing.
 
     Rows are first counted per distinct score, so equal scores cost one row. Distinct scores are cut
-    into at most SCORE_BUCKETS ranges; whole ranges below add their totals, and only
+    into ranges of some RANGE_ROWS (at most MAX_RANGES ranges); whole ranges below add their totals, and only
     inside a range is anything sorted.
     """
     by = by or []
@@ -112,7 +114,9 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None)
         .groupBy(*names, "_s")
         .agg(F.count_if(F.col("_t") == 1).alias("pos"), F.count_if(F.col("_t") == 0).alias("neg"))
     )
-    steps = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
+    per_score = durable(per_score, "roc")
+    ranges = min(MAX_RANGES, max(8, per_score.count() // RANGE_ROWS))
+    steps = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(per_score.agg(F.percentile_approx("_s", steps, 10_000)).first()[0] or []))
     splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) > 2:
@@ -170,8 +174,6 @@ def run_summary(df: DataFrame, features: list[str], threshold: float, contaminat
 
 def scatter_points(df: DataFrame, x: str, y: str, id_col: str, points: int, seed: int = 42, flag: str = "is_anomaly") -> DataFrame:
     """Two columns and the flag for a plot of at most ``points`` rows, picked by seeded hash."""
-    from flowsieve.functions.hashing import seeded_md5
-
     return (
         df.select(col(id_col), col(x).alias("x"), col(y).alias("y"), col(flag).alias(flag), seeded_md5(seed, col(id_col)).alias("_h"))
         .orderBy("_h").limit(points).drop("_h")

@@ -41,11 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 SMALL_ROWS = 20_000_000
+_written: list = []
+
+
+def drop_durable() -> None:
+    """Remove the intermediate tables written so far. Results not yet saved can no longer be read after it."""
+    while _written:
+        filesystem, path = _written.pop()
+        filesystem.delete(path, True)
 
 
 def durable(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later passes neither recompute it
-    nor depend on the executors that made it. The files go away when the driver ends.
+    nor depend on the executors that made it. The files go away when the driver ends, or by
+    ``drop_durable``.
 
     A small table may sit in a single input split. If ``rows`` says it is small, it is spread first, so that heavy passes
     over it use all cores; a large table has enough splits and is not shuffled.
@@ -56,5 +65,7 @@ def durable(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/flowsieve-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    filesystem.deleteOnExit(target)
+    _written.append((filesystem, target))
     return spark.read.schema(df.schema).parquet(path)

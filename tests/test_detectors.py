@@ -73,11 +73,17 @@ def test_forest_ranks_planted_points_first(spark):
 
 def test_forest_samples(spark):
     rows = spark.range(40_000).select("id", F.array(F.rand(1)).alias("x"))
-    for trees in (5, 50):  # one draw per row, and one draw per row and tree
+    for trees in (5, 150):  # one draw per row, and several
         sizes = [r["count"] for r in iforest.tree_samples(rows, "id", "x", 40_000, trees, 256, 1).groupBy("tree").count().collect()]
         assert len(sizes) == trees and min(sizes) >= 256 and max(sizes) < 500
 
 
+def test_forest_of_few_rows_uses_them_all(spark):
+    rows = rows_of(spark, np.random.default_rng(0).normal(size=(100, 2)))
+    sizes = {r["count"] for r in iforest.tree_samples(rows, "id", "x", 100, 20, 100, 1).groupBy("tree").count().collect()}
+    assert sizes == {100}
+
+
 def test_forest_edge_cases(spark):
     rows = rows_of(spark, np.ones((5, 2)))
     out = rows.select(iforest.forest_score(iforest.fit_forest(rows, "id", "x", trees=10), F.col("x")).alias("s")).distinct().collect()

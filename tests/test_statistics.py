@@ -81,7 +81,8 @@ def brute_auc(t, s):
     return ((pos[:, None] > neg[None, :]).mean() + (pos[:, None] == neg[None, :]).mean() / 2)
 
 
-def test_auc_with_ties_and_groups(spark):
+def test_auc_with_ties_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RANGE_ROWS", 3)
     rng = np.random.default_rng(1)
     t, s = rng.integers(0, 2, 3000), np.round(rng.normal(size=3000), 1)
     s[:1000] = 0.5
