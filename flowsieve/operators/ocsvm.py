@@ -1,8 +1,11 @@
-"""One-class boundary with an RBF kernel, as a linear problem over random Fourier features.
+"""One-class boundary with an RBF kernel.
 
-The dual asks for the shortest convex combination w of the rows' features in which no row weighs more than 1 / (nu * n).
+The dual asks for the shortest convex combination w of the rows' kernel features in which no row weighs more than 1 / (nu * n).
 Each pass over all rows finds those that w scores lowest; their mean joins the means found before, and w becomes the shortest
 convex combination of them all, a problem of a few dozen unknowns. It stops when the duality gap is small.
+
+Features are taken relative to at most LANDMARKS rows picked by hash (Nystrom). A table with no more rows than that is solved with
+its exact kernel; beyond, the kernel is projected onto the landmarks.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import col
 from flowsieve.functions.arrow import matrix
 
-FEATURES = 1024
-MAX_PASSES = 30
+LANDMARKS = 1024
+MAX_PASSES = 40
 PROBE_ROWS = 8192
 CHUNK = 2048
 
@@ -32,39 +35,73 @@ def clamp_nu(contamination: float) -> float:
 
 @dataclass(frozen=True)
 class Boundary:
-    """Random frequencies (features x d), weights, and the scale of the dual (nu * n)."""
+    """Landmark rows, their coefficients, the kernel width, and the scale of the dual (nu * n)."""
 
-    frequencies: np.ndarray
-    weights: np.ndarray
+    landmarks: np.ndarray
+    coefficients: np.ndarray
+    gamma: float
     scale: float
     gap: float
     passes: int
 
 
-def lift(x: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
-    angle = x.astype(np.float32) @ frequencies
-    return np.hstack([np.cos(angle), np.sin(angle)]) * np.float32(np.sqrt(1.0 / frequencies.shape[1]))
+def kernel(x: np.ndarray, landmarks: np.ndarray, gamma: float) -> np.ndarray:
+    squared = (x * x).sum(1)[:, None] + (landmarks * landmarks).sum(1)[None, :] - 2.0 * (x @ landmarks.T)
+    return np.exp(-gamma * np.maximum(squared, 0.0))
 
 
-def _tail_sums(rows: DataFrame, frequencies: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
-    """[rows, tail rows, feature sum of the tail, feature sum of the others]."""
-    width = 2 * frequencies.shape[1]
+def _tail_sums(rows: DataFrame, landmarks: np.ndarray, gamma: float, coefficients: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, kernel sums) of three groups: scores under ``low``, from there to under ``high``, and the rest."""
+    m = len(landmarks)
 
     def run(batches):
-        total = np.zeros(2 + 2 * width)
+        total = np.zeros((3, 1 + m))
         for batch in batches:
             x = matrix(batch.column("x"))
             for s in range(0, len(x), CHUNK):
-                phi = lift(x[s:s + CHUNK], frequencies)
-                tail = phi @ weights < threshold
-                total[0] += len(phi)
-                total[1] += tail.sum()
-                total[2:2 + width] += phi[tail].sum(0)
-                total[2 + width:] += phi[~tail].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
+                near = kernel(x[s:s + CHUNK], landmarks, gamma)
+                score = near @ coefficients
+                group = (score >= low).astype(int) + (score >= high)
+                for g in range(3):
+                    total[g, 0] += (group == g).sum()
+                    total[g, 1:] += near[group == g].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
 
     partial = rows.select("x").mapInArrow(run, "v array<double>").select(array_to_vector("v").alias("v"))
-    return np.array(partial.agg(Summarizer.metrics("sum").summary(F.col("v")).alias("s")).select(vector_to_array("s.sum")).first()[0])
+    summed = np.array(partial.agg(Summarizer.metrics("sum").summary(F.col("v")).alias("s")).select(vector_to_array("s.sum")).first()[0])
+    return summed.reshape(3, 1 + m)[:, 0], summed.reshape(3, 1 + m)[:, 1:]
+
+
+def _picked_rows(rows: DataFrame, id_col: str, count: int, wanted: int, seed: int) -> np.ndarray:
+    """``wanted`` rows in hash order, or all if there are fewer."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), col(id_col)), F.lit(1 << 53))
+    share = min(1.0, (wanted + 6 * np.sqrt(wanted)) / count)
+    near = rows.where(draw <= int(share * (1 << 53))).select("x", draw.alias("draw"))
+    found = near.orderBy("draw", "x").limit(wanted).select("x").collect()
+    return np.array([r[0] for r in found], dtype=float)
+
+
+def _cuts(scores: np.ndarray, nu: float, whole: bool) -> tuple[float, float]:
+    """Scores between which the weight limit is reached: the one row where the probe is the whole table, else a band as wide
+    as the sampling error."""
+    order = np.sort(scores)
+    n = len(order)
+    if not whole:
+        slack = 2.5 * np.sqrt(nu * (1 - nu) / n)
+        return tuple(np.quantile(order, [max(0.0, nu - slack), min(1.0, nu + slack)]))
+    at = min(n - 1, int(nu * n))
+    under = -np.inf if at == 0 else (order[at - 1] + order[at]) / 2
+    return under, np.inf if at + 1 >= n else (order[at] + order[at + 1]) / 2
+
+
+def _lowest_mean(count: np.ndarray, sums: np.ndarray, mass: float) -> np.ndarray:
+    """Mean over the lowest rows, each with a weight of at most 1 / mass; the next group shares what the lower ones leave."""
+    left, out = mass, np.zeros(sums.shape[1])
+    for n, s in zip(count, sums):
+        if n > 0 and left > 0:
+            out += min(1.0, left / n) * s
+            left -= min(n, left)
+    return out / (mass - left)
 
 
 def shortest_mix(gram: np.ndarray, steps: int = 20_000) -> np.ndarray:
@@ -84,50 +121,47 @@ def shortest_mix(gram: np.ndarray, steps: int = 20_000) -> np.ndarray:
     return mix
 
 
-def fit_boundary(rows: DataFrame, id_col: str, count: int, gamma: float, nu: float, seed: int = 42, features: int = FEATURES,
+def fit_boundary(rows: DataFrame, id_col: str, count: int, gamma: float, nu: float, seed: int = 42, max_landmarks: int = LANDMARKS,
                  max_passes: int = MAX_PASSES, tolerance: float = 1e-3) -> Boundary:
-    """``rows`` holds ``x`` (array<double>). At most PROBE_ROWS rows, picked by hash, reach the driver, to guess how low a score is low."""
-    d = len(rows.select("x").first()[0])
-    rng = np.random.default_rng(seed)
-    frequencies = (rng.normal(size=(d, features // 2)) * np.sqrt(2.0 * gamma)).astype(np.float32)
-    share = min(1.0, 0.9 * PROBE_ROWS / count)
-    draw = F.pmod(F.xxhash64(F.lit(seed), col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    probe = np.array([r[0] for r in rows.where(draw < share).select("x").take(PROBE_ROWS)])
-    probe = lift(probe, frequencies)
+    """``rows`` holds ``x`` (array<double>). At most PROBE_ROWS rows, picked by hash, reach the driver: the first ones are the
+    landmarks, all of them tell how low a score is low."""
+    probe = _picked_rows(rows, id_col, count, PROBE_ROWS, seed)
+    landmarks = probe[:max_landmarks]
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks, gamma))
+    kept = values > 1e-10 * values.max()
+    # Kernel sums times ``half`` are coordinates in the feature space.
+    half = vectors[:, kept] / np.sqrt(values[kept])
+    near_probe = kernel(probe, landmarks, gamma)
     mass = nu * count
+    whole = len(probe) == count
 
-    first = _tail_sums(rows, frequencies, np.zeros(features, np.float32), -1.0)
-    weights = first[2 + features:] / first[0]
-    means, gap, passes = [weights], float("inf"), 1
+    passes, gap, means = 1, float("inf"), []
+    total, sums = _tail_sums(rows, landmarks, gamma, np.zeros(len(landmarks)), 1.0, 2.0)
+    weights = sums.sum(0) / total.sum() @ half
+    means.append(weights)
     while passes < max_passes:
-        w32 = weights.astype(np.float32)
-        sums = _tail_sums(rows, frequencies, w32, float(np.quantile(probe @ w32, nu)))
+        coefficients = half @ weights
+        low, high = _cuts(near_probe @ coefficients, nu, whole)
+        target = _lowest_mean(*_tail_sums(rows, landmarks, gamma, coefficients, low, high), mass) @ half
         passes += 1
-        tail, low, rest = sums[1], sums[2:2 + features], sums[2 + features:]
-        if tail >= mass:
-            target = low / tail
-        else:
-            # Too few rows in the tail for their weight limit: the others share what is left.
-            target = (low + (mass - tail) * rest / (sums[0] - tail)) / mass
-        move = weights - target
-        gap = float(weights @ move) / float(weights @ weights)
+        gap = float(weights @ (weights - target)) / float(weights @ weights)
         if gap <= tolerance:
             break
         means.append(target)
         stack = np.array(means)
         weights = shortest_mix(stack @ stack.T) @ stack
-    return Boundary(frequencies, weights, mass, gap, passes)
+    return Boundary(landmarks, half @ weights, gamma, mass, gap, passes)
 
 
 def boundary_score(rows: DataFrame, boundary: Boundary, x: Column) -> Column:
     """Higher is more anomalous."""
-    shared = rows.sparkSession.sparkContext.broadcast((boundary.frequencies, boundary.weights, boundary.scale))
+    shared = rows.sparkSession.sparkContext.broadcast((boundary.landmarks, boundary.coefficients, boundary.gamma, boundary.scale))
 
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
-        frequencies, weights, scale = shared.value
+        landmarks, coefficients, gamma, scale = shared.value
         x = np.vstack(xs.to_numpy())
-        parts = [lift(x[s:s + CHUNK], frequencies).astype(np.float64) @ weights for s in range(0, len(x), CHUNK)]
-        return pd.Series(-scale * np.concatenate(parts)) if parts else pd.Series([], dtype=float)
+        parts = [kernel(x[s:s + CHUNK], landmarks, gamma) @ coefficients for s in range(0, len(x), CHUNK)]
+        return pd.Series(-scale * np.concatenate(parts))
 
     return score(x)
