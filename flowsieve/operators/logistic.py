@@ -12,12 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.arrow import batch_columns
+from flowsieve.operators.sums import sum_vectors
 
 # Given the columns of a batch and its feature matrix: 1 / 0 for a labelled row of an arm, -1 otherwise.
 LabelFn = Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]
@@ -49,7 +48,7 @@ def _sums(x1: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _pass(df: DataFrame, columns: list[str], labels: LabelFn, beta: np.ndarray, arms: list[int]) -> dict[int, np.ndarray]:
+def _pass(df: DataFrame, columns: list[str], labels: LabelFn, beta: np.ndarray, arms: list[int], tasks: int) -> dict[int, np.ndarray]:
     width = beta.shape[1]
     length = 2 * (1 + 2 * (width - 1) + 1 + width + width * (width + 1) // 2)
 
@@ -69,12 +68,7 @@ def _pass(df: DataFrame, columns: list[str], labels: LabelFn, beta: np.ndarray,
         )
 
     partial = df.select(*columns).mapInArrow(run, "arm int, v array<double>")
-    summed = (
-        partial.select("arm", array_to_vector("v").alias("v")).groupBy("arm")
-        .agg(Summarizer.metrics("sum").summary(F.col("v")).alias("s"))
-        .select("arm", vector_to_array("s.sum").alias("v"))
-    )
-    return {r["arm"]: np.array(r["v"]) for r in summed.collect()}
+    return {r["arm"]: np.array(r["v"]) for r in sum_vectors(partial, ["arm"], tasks).collect()}
 
 
 def _step(v: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -127,10 +121,11 @@ def fit_arms(df: DataFrame, columns: list[str], labels: LabelFn, start: np.ndarr
     open_arms = list(range(len(start))) if arms is None else list(arms)
     best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
     rows: dict[int, float] = {}
+    tasks = df.rdd.getNumPartitions()
     for turn in range(MAX_PASSES):
         if not open_arms:
             break
-        sums = _pass(df, columns, labels, beta, open_arms)
+        sums = _pass(df, columns, labels, beta, open_arms, tasks)
         left = []
         for arm in open_arms:
             objective, step, count = _step(sums[arm], beta[arm])

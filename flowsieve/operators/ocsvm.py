@@ -15,13 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import col
 from flowsieve.functions.arrow import matrix
+from flowsieve.functions.columns import col
+from flowsieve.operators.sums import sum_vectors
 
 LANDMARKS = 1024
 MAX_PASSES = 40
@@ -67,8 +66,8 @@ def _tail_sums(rows: DataFrame, landmarks: np.ndarray, gamma: float, coefficient
                     total[g, 1:] += near[group == g].sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
 
-    partial = rows.select("x").mapInArrow(run, "v array<double>").select(array_to_vector("v").alias("v"))
-    summed = np.array(partial.agg(Summarizer.metrics("sum").summary(F.col("v")).alias("s")).select(vector_to_array("s.sum")).first()[0])
+    partial = rows.select("x").mapInArrow(run, "v array<double>")
+    summed = np.array(sum_vectors(partial, [], rows.rdd.getNumPartitions()).first()["v"])
     return summed.reshape(3, 1 + m)[:, 0], summed.reshape(3, 1 + m)[:, 1:]
 
 

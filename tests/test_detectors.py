@@ -54,6 +54,28 @@ def test_lof_descends_box_levels_and_splits_hot_blocks(spark, monkeypatch):
     check_lof(spark, x, block_rows=32)
 
 
+def test_far_points_visit_few_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.uniform(0, 1, (3000, 2)), rng.uniform(30, 400, (40, 2))])
+    points = lof.weighted_points(rows_of(spark, x))
+    near = knn.nearest_neighbours(points, len(x), 2, 10, 50)
+    assert near.count() == len(x)
+    lo, hi = np.zeros((1, 2)), np.ones((1, 2))
+    far = np.array([[10.0, 10.0], [0.5, 0.5]])
+    assert np.allclose(knn._tighten(far, np.array([500.0, 0.1]), lo, hi, np.array([11]), 10), [np.sqrt(200), 0.1])
+    assert knn._tighten(far, np.array([500.0, -1.0]), lo, hi, np.array([10]), 10).tolist() == [500.0, -1.0]
+    check_lof(spark, x, 10, 50)
+
+
+def test_vectors_add_up_in_two_steps(spark, monkeypatch):
+    from flowsieve.operators import sums
+
+    df = spark.range(0, 600, 1, 6).select((F.col("id") % 2).cast("int").alias("arm"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    one = {r["arm"]: list(r["v"]) for r in sums.sum_vectors(df, ["arm"], 6).collect()}
+    monkeypatch.setattr(sums, "DIRECT_TASKS", 2)
+    assert {r["arm"]: list(r["v"]) for r in sums.sum_vectors(df, ["arm"], 6).collect()} == one == {0: [300.0, 89700.0], 1: [300.0, 90000.0]}
+
+
 def test_lof_in_many_dimensions(spark):
     check_lof(spark, np.random.default_rng(4).normal(size=(400, 40)), block_rows=64)
 
