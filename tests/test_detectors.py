@@ -47,6 +47,7 @@ def test_lof_descends_box_levels_and_splits_hot_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "TOP_BOXES", 3)
     monkeypatch.setattr(knn, "FAN_BITS", 2)
     monkeypatch.setattr(knn, "HOT_VISITS", 2)
+    monkeypatch.setattr(knn, "host_bits", lambda blocks: 2)
     monkeypatch.setattr(joins, "SMALL", 10)
     monkeypatch.setattr(lof, "SMALL", 10)
     x = planted(800, 2, 10, 3)
