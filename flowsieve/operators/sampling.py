@@ -113,10 +113,12 @@ def with_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 4
     before = Window.partitionBy(col(label)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         keyed.groupBy(col(label), "_range").count()
-        .select(col(label), "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+        .select(col(label).alias("_label"), F.col("_range").alias("_at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     )
     inside = Window.partitionBy(col(label), F.col("_range")).orderBy("_key", col(id_col))
-    placed = keyed.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(starts), [label, "_range"])
+    # Null-safe, so that rows without a label keep their place as a class of their own.
+    same = col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_at"))
+    placed = keyed.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(starts), same)
     fold = F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(k)).cast("int")
     return placed.select(*[col(c) for c in df.columns], fold.alias(name))
 

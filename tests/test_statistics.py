@@ -124,6 +124,8 @@ def test_samples(spark):
     assert {r["count"] for r in folds if r["label"] == 0} == {180} and {r["count"] for r in folds if r["label"] == 1} == {20}
     again = sampling.with_folds(df.repartition(3), "label", "id", 5)
     assert again.exceptAll(sampling.with_folds(df, "label", "id", 5)).isEmpty()
+    gaps = df.withColumn("label", F.when(F.col("id") >= 100, F.col("label")))
+    assert {r["count"] for r in sampling.with_folds(gaps, "label", "id", 5).where("label is null").groupBy("fold").count().collect()} == {20}
     assert sampling.seed_labels(df, "label", "id", 10).groupBy("label").count().where("count = 5").count() == 2
     with pytest.raises(ValueError):
         sampling.seed_labels(df.where("label = 0"), "label", "id")
