@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import packing, urls
+from flowsieve.llm import decontaminate, packing, urls
 
-QUERIES = {"op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
-SQL = {"op9_url_filter": urls.SQL}
+QUERIES = {"op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
+SQL = {"op2_decontamination": decontaminate.SQL, "op9_url_filter": urls.SQL}
