@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import decontaminate, language, packing, urls
+from flowsieve.llm import decontaminate, fingerprints, language, packing, urls
 
-QUERIES = {"op6_language_id": language.op6_language_id, "op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
+QUERIES = {"op7_fingerprints": fingerprints.op7_fingerprints, "op6_language_id": language.op6_language_id, "op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
 SQL = {"op2_decontamination": decontaminate.SQL, "op9_url_filter": urls.SQL}

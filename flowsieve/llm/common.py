@@ -68,8 +68,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(words: list[bytes], width: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of ``width``-word shingles; a shorter text is one shingle, no words give none."""
+def shingles(words: list[bytes], width: int, memo: Memo, distinct: bool = True) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of ``width``-word shingles; a shorter text is one shingle, no words give none.
+    Not ``distinct``: in order of the text."""
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -77,4 +78,4 @@ def shingles(words: list[bytes], width: int, memo: Memo) -> np.ndarray:
     out = np.full(n, min(width, len(h)), np.uint64)
     for j in range(min(width, len(h))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+    return np.unique(out) if distinct else out
