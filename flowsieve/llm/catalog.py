@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import decontaminate, fingerprints, html, language, packing, urls
+from flowsieve.llm import decontaminate, fingerprints, html, language, packing, pii, urls
 
-QUERIES = {"op8_html_extraction": html.op8_html_extraction, "op7_fingerprints": fingerprints.op7_fingerprints, "op6_language_id": language.op6_language_id, "op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
+QUERIES = {"op3_pii": pii.op3_pii, "op8_html_extraction": html.op8_html_extraction, "op7_fingerprints": fingerprints.op7_fingerprints, "op6_language_id": language.op6_language_id, "op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
 SQL = {"op2_decontamination": decontaminate.SQL, "op9_url_filter": urls.SQL}
