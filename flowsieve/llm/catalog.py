@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import decontaminate, fingerprints, html, language, packing, pii, scoring, toxicity, urls
+from flowsieve.llm import decontaminate, fingerprints, html, jaccard, language, packing, pii, scoring, toxicity, urls
 
-QUERIES = {"op1_lm_scoring": scoring.op1_lm_scoring, "op4_toxicity": toxicity.op4_toxicity, "op3_pii": pii.op3_pii, "op8_html_extraction": html.op8_html_extraction, "op7_fingerprints": fingerprints.op7_fingerprints, "op6_language_id": language.op6_language_id, "op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
+QUERIES = {"op5_jaccard_join": jaccard.op5_jaccard_join, "op1_lm_scoring": scoring.op1_lm_scoring, "op4_toxicity": toxicity.op4_toxicity, "op3_pii": pii.op3_pii, "op8_html_extraction": html.op8_html_extraction, "op7_fingerprints": fingerprints.op7_fingerprints, "op6_language_id": language.op6_language_id, "op2_decontamination": decontaminate.op2_decontamination, "op9_url_filter": urls.op9_url_filter, "op10_packing": packing.op10_packing}
 SQL = {"op2_decontamination": decontaminate.SQL, "op9_url_filter": urls.SQL}
