@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are at most LABELLED labelled rows, the first in a hash order of their ids; they are the only thing that is sampled. Terms are words and the runs of four and
-five letters in them. A term counts if its share of toxic examples is beyond chance, given how many terms are tried; at most TERMS are kept.
+five letters in them. A term counts if the odds of toxic examples among those with it are LIFT times the usual ones, and beyond chance, given how many terms are tried; at most
+TERMS are kept.
 Inverse document frequencies of the terms come from all documents, and every document is scored.
 
 The index holds, for every term, the largest weight in each block of examples. A query sums these maxima to a bound per block, opens blocks in
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ TERMS = 1500
 NEAR = 15
 BLOCK = 64
 SHRINK = 0.5
+LIFT = 9.0
 LEAST = 3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,29 +45,30 @@ def pieces(word: str) -> tuple[str, ...]:
     return tuple({marked, *(marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1))})
 
 
-class Pieces(dict):
-    """Word to the numbers of its known terms."""
-
-    LIMIT = 300_000
+class Finder:
+    """Terms of a vocabulary in lowered texts: one automaton looks for their letters, marks are checked where they occur."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > self.LIMIT:
-            self.clear()
-        got = self[word] = tuple(n for n in map(self.vocabulary.get, pieces(word)) if n is not None)
-        return got
-
-
-def term_counts(text: str | None, known: Pieces) -> Counter:
-    out: Counter = Counter()
-    for word in WORD.findall((text or "").lower()):
-        got = known[word]
-        if got:
-            out.update(got)
-    return out
+        self.automaton = ahocorasick.Automaton()
+        letters: dict[str, list[tuple[int, bool, bool]]] = {}
+        for term, number in vocabulary.items():
+            letters.setdefault(term.strip("^$"), []).append((number, term[0] == "^", term[-1] == "$"))
+        for word, forms in letters.items():
+            self.automaton.add_word(word, (len(word), forms))
+        self.empty = not letters
+        if letters:
+            self.automaton.make_automaton()
+
+    def counts(self, text: str | None) -> Counter:
+        out: Counter = Counter()
+        if self.empty or not text:
+            return out
+        text = text.lower()
+        for last, (size, forms) in self.automaton.iter(text):
+            for number, left, right in forms:
+                if (not left or last < size or not text[last - size].isalpha()) and (not right or last + 1 == len(text) or not text[last + 1].isalpha()):
+                    out[number] += 1
+        return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +105,7 @@ def select_terms(sample: DataFrame) -> dict[str, int]:
     tried = max(counts.count(), 1)
     n, p = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     gain = F.col("bad") * F.log(p / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - share))).otherwise(0.0)
-    best = counts.withColumn("gain", gain).where((F.col("gain") > float(np.log(tried)) + 1) & (p > share) & (n < rows)).orderBy(F.desc("gain"), "term").limit(TERMS)
+    best = counts.withColumn("gain", gain).where((F.col("gain") > float(np.log(tried)) + 1) & (F.col("bad") * (1 - share) >= LIFT * share * F.col("good"))).orderBy(F.desc("gain"), "term").limit(TERMS)
     return {r["term"]: k for k, r in enumerate(best.collect())}
 
 
@@ -110,13 +114,10 @@ def frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
     size = len(vocabulary.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Pieces(vocabulary.value), np.zeros(size + 1, np.int64)
+        known, total = Finder(vocabulary.value), np.zeros(size + 1, np.int64)
         for batch in slices(batches, "text"):
             for text in texts(batch):
-                held = set()
-                for word in set(WORD.findall((text or "").lower())):
-                    held.update(known[word])
-                total[list(held)] += 1
+                total[list(known.counts(text))] += 1
                 total[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "n"])
 
@@ -133,8 +134,8 @@ class Weights:
         self.vocabulary = vocabulary
         self.idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1
 
-    def vector(self, text: str | None, known: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        counts = term_counts(text, known)
+    def vector(self, text: str | None, known: Finder) -> tuple[np.ndarray, np.ndarray]:
+        counts = known.counts(text)
         at = np.array(sorted(counts), np.int64)
         w = np.array([1 + np.log(counts[t]) for t in at.tolist()]) * self.idf[at] if len(at) else np.empty(0)
         return at, w / max(float(np.sqrt((w * w).sum())), 1e-12)
@@ -203,7 +204,7 @@ class Model:
             votes = np.array([self.index.vote(*r[2], but=self.index.place[k])[0] for k, r in enumerate(filled)])
             self.knots = isotonic(votes, np.array([r[1] for r in filled], float))
 
-    def score(self, text: str | None, known: Pieces) -> tuple[float, list]:
+    def score(self, text: str | None, known: Finder) -> tuple[float, list]:
         at, w = self.weights.vector(text, known)
         if not len(at) or self.index is None:
             return self.blank, []
@@ -219,7 +220,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
     kind = sample.schema["doc_id"].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Pieces(weights.vocabulary)
+        known = Finder(weights.vocabulary)
         for batch in slices(batches, "text"):
             got = [weights.vector(t, known) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
@@ -236,7 +237,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = Pieces(model.weights.vocabulary)
+        known = Finder(model.weights.vocabulary)
         ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
         for batch in slices(batches, "text"):
             got = [model.score(t, known) for t in texts(batch)]

@@ -44,3 +44,8 @@ def test_awkward_rows(spark):
     none = T.fit(docs, T.examples(docs, labels.where("false"), T.F.lit(True)))
     assert {r.score for r in T.score(docs, none, ["doc_id"]).collect()} == {0.0}
     assert T.score(docs.where("false"), model, ["doc_id"]).count() == 0
+
+
+def test_finder_counts_terms_at_their_places():
+    found = T.Finder({"^ab": 0, "ab$": 1, "ab": 2, "^ab$": 3, "bc": 4}).counts("AB abc cab xabx, ab1")
+    assert found == {0: 3, 1: 3, 2: 5, 3: 2, 4: 1}
