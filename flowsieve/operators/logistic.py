@@ -8,6 +8,7 @@ with the intercept left out of the penalty and each class weighted to half of th
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -129,6 +130,8 @@ def fit_arms(df: DataFrame, columns: list[str], labels: LabelFn, start: np.ndarr
         left = []
         for arm in open_arms:
             objective, step, count = _step(sums[arm], beta[arm])
+            if not np.isfinite(objective):
+                raise ValueError("The logistic objective is not finite: features must be finite numbers.")
             rows[arm] = float(count.sum())
             if turn == 0 and known is not None and known.get(arm) == rows[arm]:
                 continue
@@ -143,6 +146,8 @@ def fit_arms(df: DataFrame, columns: list[str], labels: LabelFn, start: np.ndarr
             if np.abs(step).max() > TOLERANCE * (1.0 + np.abs(beta[arm]).max()):
                 left.append(arm)
         open_arms = left
+    if open_arms:
+        warnings.warn(f"{len(open_arms)} logistic fits had not converged after {MAX_PASSES} passes.", stacklevel=2)
     return beta, rows
 
 

@@ -157,8 +157,8 @@ def flagged_preview(df: DataFrame, id_col: str, reason: str, flag: str = "is_ano
 
 
 def run_summary(df: DataFrame, features: list[str], threshold: float, contamination: float, truth: str | None = None,
-                methods: dict[str, str] = METHODS) -> DataFrame:
-    """One row about a report. The flagged ids are the table from ``flagged``, not a list in here."""
+                methods: dict[str, str] = METHODS, dropped: int | None = None) -> DataFrame:
+    """One row about a report; ``dropped`` tells how many input rows it leaves out. The flagged ids are the table from ``flagged``, not a list in here."""
     base = df.agg(F.count(F.lit(1)).alias("rows_processed"), F.coalesce(F.sum(col("is_anomaly")), F.lit(0)).alias("anomalies_detected"))
     base = base.withColumns({
         "numeric_features": F.lit(",".join(features)),
@@ -166,6 +166,8 @@ def run_summary(df: DataFrame, features: list[str], threshold: float, contaminat
         "model_contamination": F.lit(contamination),
         "metrics_available": F.lit(truth is not None),
     })
+    if dropped is not None:
+        base = base.withColumn("rows_dropped", F.lit(dropped).cast("bigint"))
     if truth is None:
         return base
     best = best_method(method_metrics(df, truth, methods), methods).first()[0]

@@ -36,9 +36,9 @@ def window_frame(df: DataFrame, source: str, minutes: int, time: str = "timestam
     ``ground_truth`` is 1 when any of its rows is an attack. Rows without a source are left out.
     """
     if source not in df.columns:
-        raise ValueError(f"Source column '{source}' was not found in the data.")
+        raise ValueError(f"There is no column '{source}' to group windows by.")
     if label and label not in df.columns:
-        raise ValueError(f"Label column '{label}' was not found in the data.")
+        raise ValueError(f"There is no column '{label}' to read labels from.")
     if names is None:
         names = [n for n in numeric_columns(df) if n not in (source, time, label) and n.lower() not in LABEL_LIKE_NAMES]
     timed = with_valid_time(df, time, check).where(col(source).isNotNull())

@@ -15,6 +15,7 @@ from flowsieve.functions.columns import col
 from flowsieve.functions.labels import feature_columns, normalize_label, not_benign
 from flowsieve.operators import ensemble, metrics, sampling, stats, windows
 from flowsieve.plans import active_learning, label_budget, report, subsets, supervised
+from flowsieve.session import durable
 from flowsieve.sources import benchmarks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +206,17 @@ def q_time_parse(spark, folder):
     return timed.select("event_id", F.unix_micros("event_time").alias("event_us"))
 
 
+@query("q_row_numbers", """WITH g AS (SELECT l_orderkey, count(*) AS lines, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY l_orderkey)
+SELECT count(*) AS n, count(*) AS ids, CAST(1 AS BIGINT) AS low, count(*) AS high, CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(quantity) AS BIGINT) AS quantity FROM g""")
+def q_row_numbers(spark, folder):
+    """Numbers of a shuffled table: none is missing or given twice, and no row is lost."""
+    grouped = read(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    return tables.number_rows(grouped).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.min("row_id").alias("low"), F.max("row_id").alias("high"),
+        F.sum("l_orderkey").alias("keys"), F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity"),
+    )
+
+
 @query("q_union", """SELECT c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment FROM customer
 UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier""")
 def q_union(spark, folder):
@@ -425,7 +437,7 @@ def q_unusual_windows(spark, folder):
 
 
 def unusual_windows(spark, folder) -> DataFrame:
-    framed = windows.window_frame(flows(spark, folder), "user_id", 30, "ts", ["value", "k"])
+    framed = durable(windows.window_frame(flows(spark, folder), "user_id", 30, "ts", ["value", "k"]), "windows")
     names = feature_columns(framed, None, ("user_id",))
     scored = stats.with_zscore(framed, stats.fit_stats(framed, names), 2.5)
     return scored.where("z_score_flag = 1")

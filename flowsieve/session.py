@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,29 @@ def build_session(app: str = "flowsieve", master: str | None = None, shuffle_par
         builder = builder.master(master).config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship(session)
+    return session
+
+
+_shipped: set[str] = set()
+_local: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="flowsieve-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +59,11 @@ def shared_folder(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-    path = tempfile.mkdtemp(prefix="flowsieve-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    # One process on one machine, as in tests: its own temporary folder, without touching the session's settings.
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="flowsieve-")
+    return _local[application]
 
 
 SMALL_ROWS = 20_000_000

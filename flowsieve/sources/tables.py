@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from flowsieve.functions.columns import col, drop_dirty
 from flowsieve.functions.labels import feature_columns, normalize_label
+from flowsieve.session import durable
 
 # Mirror spellings of the UNSW-NB15 columns.
 UNSW_ALIASES = {
@@ -21,11 +22,11 @@ UNSW_ALIASES = {
 }
 
 
-def load_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Parquet by suffix, otherwise CSV with a header. Missing and empty tables are errors."""
+def load_table(spark: SparkSession, path: str, schema: StructType | str | None = None, fmt: str | None = None) -> DataFrame:
+    """``fmt`` (parquet or csv) or, without it, parquet by suffix and else CSV with a header. Missing and empty tables are errors."""
     reader = spark.read.schema(schema) if schema else spark.read
     try:
-        if path.endswith(".parquet"):
+        if (fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")) == "parquet":
             df = reader.parquet(path)
         else:
             if not schema:
@@ -43,7 +44,7 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
 def labeled(df: DataFrame, label: str = "label", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Features as double plus ``ground_truth``. ``keep`` columns ride along and are no features."""
     if label not in df.columns:
-        raise ValueError(f"Label column '{label}' not found.")
+        raise ValueError(f"There is no column '{label}' to read labels from.")
     names = feature_columns(df, label, keep)
     clean = drop_dirty(df, names)
     out = clean.select(
@@ -75,19 +76,17 @@ def union_tables(frames: list[DataFrame]) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Row numbers 1..N in partition order, from per-partition counts; no shuffle of the rows.
+    """Row numbers 1..N in partition order.
 
-    The offset table has one row per input partition.
+    Rows are written once with the number that Spark gives them; counts per partition come from those written numbers, so rows and
+    counts agree however the input was shuffled. Rows are not shuffled; the offsets have one row per partition.
     """
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    start, offsets = 1, []
-    for row in sorted(marked.groupBy("_part").count().collect()):
-        offsets.append((row["_part"], start))
-        start += row["count"]
-    lookup = df.sparkSession.createDataFrame(offsets, "_part int, _start bigint")
-    numbered = marked.join(F.broadcast(lookup), "_part")
-    position = F.col("_mono") - F.shiftleft(F.col("_part").cast("bigint"), 33)
-    return numbered.select((F.col("_start") + position).alias(name), *[col(c) for c in df.columns])
+    mono, part = "_flowsieve_mono", "_flowsieve_part"
+    marked = durable(df.withColumn(mono, F.monotonically_increasing_id()), "numbered").withColumn(part, F.shiftright(mono, 33))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = marked.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    position = F.col(mono) - F.shiftleft(F.col(part), 33)
+    return marked.join(offsets, part).select((F.col("_start") + position + 1).alias(name), *[col(c) for c in df.columns])
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -36,13 +36,16 @@ def test_run_writes_everything(spark, tmp_path):
     assert summary["anomalies_detected"] == run.flagged().count() == {r["method"]: r["flagged"] for r in run.method_counts.collect()}["ensemble"]
     assert sum(r["n"] for r in run.confusion.collect()) == 240
     assert run.preview(3).count() == 3 and run.preview(3).first()["omitted"] == summary["anomalies_detected"] - 3
-    assert run.scatter(50).count() == 50
+    assert run.scatter(points=50).count() == 50 and run.scatter("duration", points=9).columns[1:3] == ["x", "y"]
     for fmt in ("parquet", "csv"):
         run.save(str(tmp_path / fmt), fmt)
     assert spark.read.parquet(str(tmp_path / "parquet/report")).count() == 240
     assert spark.read.json(str(tmp_path / "csv/summary")).first()["best_method_by_f1"] == summary["best_method_by_f1"]
+    assert summary["rows_dropped"] == 0
     with pytest.raises(ValueError):
         detect(spark.read.parquet(path), label="nope")
+    with pytest.raises(ValueError, match="more than once"):
+        detect(spark.read.parquet(path), id_col="source_ip", label="label")
     head, counts, profile = class_overview(run.report, "label", run.features, "row_id")
     assert head.count() == 5 and counts.count() == 2 and profile.columns == ["feature", "mean_attack", "mean_benign"]
 

@@ -106,24 +106,24 @@ def test_self_training_equals_local_replay(frame):
 
 
 def test_budget_sweep(frame):
-    x, y = separable(150, 4, 5, 0)
-    out = label_budget.label_budget(frame(x, y), names(x), "truth", "id", [0.02, 0.5], 3, 0).orderBy("labeled_fraction").collect()
-    assert [r["approx_labeled_rows"] for r in out] == [4, 100]
+    x, y = separable(96, 3, 4, 8)
+    out = label_budget.label_budget(frame(x, y), names(x), "truth", "id", [0.03, 0.5], 3, 7).orderBy("labeled_fraction").collect()
+    assert [r["approx_labeled_rows"] for r in out] == [4, 64]
     assert out[1]["supervised_f1"] >= out[0]["supervised_f1"] - 0.05
     assert out[1]["self_training_f1"] > 0.9
 
 
 def test_active_learning_curves(frame):
-    rng = np.random.default_rng(1)
-    y = rng.permutation([0] * 240 + [1] * 60)
-    x = rng.normal(size=(300, 5))
-    x[y == 1, 0] += 3.0
-    out = active_learning.active_curves(frame(x, y), names(x), "truth", "id", folds=5, budget=60).toPandas()
-    assert sorted(out["labels"].unique()) == [10, 20, 30, 40, 50, 60]
-    assert out["f1"].between(0, 1).all() and len(out) == 2 * 5 * 6
+    rng = np.random.default_rng(6)
+    y = rng.permutation([0] * 130 + [1] * 50)
+    x = rng.normal(size=(180, 3))
+    x[y == 1, 2] -= 2.5
+    out = active_learning.active_curves(frame(x, y), names(x), "truth", "id", folds=4, budget=40).toPandas()
+    assert sorted(out["labels"].unique()) == [10, 20, 30, 40]
+    assert out["f1"].between(0, 1).all() and len(out) == 2 * 4 * 4
     first = out[out["labels"] == 10].pivot(index="fold", columns="strategy", values="f1")
     assert (first["random"] == first["uncertainty"]).all()
-    one = active_learning.active_fold(frame(x, y), names(x), "truth", "id", "uncertainty", 2, budget=60).toPandas()
+    one = active_learning.active_fold(frame(x, y), names(x), "truth", "id", "uncertainty", 2, folds=4, budget=40).toPandas()
     same = out[(out["strategy"] == "uncertainty") & (out["fold"] == 2)]
     assert dict(zip(one["labels"], one["f1"])) == dict(zip(same["labels"], same["f1"]))
 
@@ -155,6 +155,20 @@ def test_active_learning_replay_and_small_pool(frame):
                 held = held + rest[:10]
 
 
+def test_dirty_and_unlabelled_rows_change_nothing(spark, frame):
+    x, y = separable(60, 2, 6, 3)
+    clean = frame(x, y)
+    extra = spark.createDataFrame([(1000, None, 1.0, 1), (1001, float("nan"), 1.0, 0), (1002, 9.0, 9.0, None), (1003, float("inf"), 0.0, 1)], "id long, f0 double, f1 double, truth int")
+    dirty = clean.unionByName(extra.select(*[F.col(c).cast(t) for c, t in clean.dtypes]))
+    with pytest.warns(UserWarning, match="1 rows without a label and 3"):
+        got = label_budget.label_budget(dirty, names(x), "truth", "id", [0.1], 3, 1).collect()
+    assert got == label_budget.label_budget(clean, names(x), "truth", "id", [0.1], 3, 1).collect()
+    with pytest.raises(ValueError):
+        experiment_table(dirty, names(x), "truth", "id", 3, 1, on_dirty="error")
+    with pytest.warns(UserWarning):
+        assert supervised.cross_validate(dirty, names(x), "truth", "id", folds=3).collect() == supervised.cross_validate(clean, names(x), "truth", "id", folds=3).collect()
+
+
 def test_one_class_is_an_error(frame):
     x, y = separable(20, 2, 3, 0)
     with pytest.raises(ValueError):

@@ -1,5 +1,7 @@
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ def test_label_words(spark):
 
 def test_unknown_label_fails(spark):
     df = spark.createDataFrame([("unsure",), (None,)], "w string")
-    with pytest.raises(Exception, match="Unsupported label value"):
+    with pytest.raises(Exception, match="Not a label word"):
         df.select(normalize_label(F.col("w"))).collect()
     assert df.where(label_or_null(F.col("w")).isNull()).count() == 2
 
@@ -95,6 +97,34 @@ def test_row_numbers(spark):
     assert sorted(r["row_id"] for r in out) == list(range(1, 1001))
 
 
+def test_row_numbers_of_a_shuffled_wide_table(spark):
+    wide = spark.range(300_000).select((F.col("id") % 100_000).alias("k"), *[(F.col("id") * (j + 1)).alias(f"v{j}") for j in range(12)])
+    grouped = wide.groupBy("k").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(12)])
+    out = tables.number_rows(grouped)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("k").alias("k")).first()
+    assert tuple(r) == (100_000, 100_000, 1, 100_000, 100_000)
+
+
+def test_folder_without_suffix(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "flows"))
+    assert tables.load_table(spark, str(tmp_path / "flows"), fmt="parquet").count() == 5
+
+
+def test_query_from_another_folder(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location('entry_file', {os.path.join(root, "__spark_entry__.py")!r})
+entry = importlib.util.module_from_spec(spec); spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+print('rows', entry.queries()['q_iforest'](spark, '/root/testdata/sf0.001').count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in out.stdout, out.stderr[-2000:]
+
+
 def test_prepared_subsets(spark):
     a = spark.createDataFrame([(f"a{i}", float(i), i % 3 == 0) for i in range(60)], "id string, Sload double, y0 boolean").select("id", "Sload", F.col("y0").cast("int").alias("label"))
     b = spark.createDataFrame([("b", 1.0, 5.0, 1), ("c", float("nan"), 1.0, 1)], "id string, sload double, extra double, label int")

@@ -13,15 +13,16 @@ def z_flags(spark, values, threshold=2.5):
 
 
 def test_outlier_is_flagged(spark):
-    out = z_flags(spark, [10.0, 11.0, 9.0, 10.0, 12.0, 10.0, 9.0, 11.0, 10.0, 60.0])
-    assert [r["z_score_flag"] for r in out] == [0] * 9 + [1]
-    assert out[-1]["z_score_reason"].startswith("packets=60.0 (z=2.9") and out[0]["z_score_reason"] == "baseline behavior"
+    out = z_flags(spark, [31.0, 29.0, 30.5, 30.0, 28.5, 31.5, 30.0, 29.5, 30.0, 30.5, 29.0, 140.0])
+    assert [r["z_score_flag"] for r in out] == [0] * 11 + [1]
+    assert out[-1]["z_score_reason"].startswith("packets=140.0 (z=3.3") and out[0]["z_score_reason"] == "baseline behavior"
 
 
 def test_lone_extreme_masks_itself(spark):
-    out = z_flags(spark, [10.0, 11.0, 9.0, 10.0, 500.0])
-    assert sum(r["z_score_flag"] for r in out) == 0 and out[-1]["z_score_max"] == 2.0
-    assert z_flags(spark, [10.0, 11.0, 9.0, 10.0, 500.0], out[-1]["z_score_max"] - 1e-3)[-1]["z_score_flag"] == 1
+    values = [3.0, 3.5, 2.5, 3.0, 3.25, 2000.0]  # of n values one can be (n - 1) ** 0.5 deviations away at most
+    out = z_flags(spark, values)
+    assert sum(r["z_score_flag"] for r in out) == 0 and out[-1]["z_score_max"] == pytest.approx(5**0.5, abs=1e-3)
+    assert z_flags(spark, values, out[-1]["z_score_max"] - 1e-3)[-1]["z_score_flag"] == 1
 
 
 def test_constant_and_dirty_columns_never_flag(spark):
@@ -43,12 +44,12 @@ def test_scaling_matches_population_statistics(frame, d):
 
 
 def test_windows(spark):
-    rows = [(f"2026-05-10T08:{m:02d}:00", "s1", 100 + m, 2, 1) for m in range(15)] + [("junk", "s1", 1, 1, 0), ("2026-05-10T08:00:00", None, 1, 1, 0)]
+    rows = [(f"2031-02-03T21:{m:02d}:30", "s1", 40 + 3 * m, 7, 1) for m in range(0, 24, 2)] + [("junk", "s1", 1, 1, 0), ("2031-02-03T21:00:00", None, 1, 1, 0)]
     df = spark.createDataFrame(rows, "timestamp string, source_ip string, bytes_sent int, packets int, label int")
-    out = windows.window_frame(df, "source_ip", 5).orderBy("timestamp").collect()
-    assert [(r["bytes_sent_mean"], r["bytes_sent_sum"], r["bytes_sent_count"]) for r in out] == [(102.0, 510, 5), (107.0, 535, 5), (112.0, 560, 5)]
+    out = windows.window_frame(df, "source_ip", 6).orderBy("timestamp").collect()
+    assert [(r["bytes_sent_mean"], r["bytes_sent_sum"], r["bytes_sent_count"]) for r in out] == [(46.0, 138, 3), (64.0, 192, 3), (82.0, 246, 3), (100.0, 300, 3)]
     assert not [c for c in out[0].asDict() if c.startswith("label")]
-    assert [r["ground_truth"] for r in windows.window_frame(df, "source_ip", 5, label="label").collect()] == [1, 1, 1]
+    assert [r["ground_truth"] for r in windows.window_frame(df, "source_ip", 6, label="label").collect()] == [1, 1, 1, 1]
     with pytest.raises(ValueError):
         windows.window_frame(df, "nope", 5)
     with pytest.raises(ValueError):
@@ -130,8 +131,8 @@ def test_samples(spark):
     with pytest.raises(ValueError):
         sampling.seed_labels(df.where("label = 0"), "label", "id")
     assert sampling.random_queries(df, "id", 2000).count() == 1000
-    probs = spark.createDataFrame([(i, p) for i, p in enumerate([0.99, 0.51, 0.49, 0.01, 0.90])], "id int, p double")
-    assert sorted(r["id"] for r in sampling.uncertain_queries(probs, "p", "id", 2).collect()) == [1, 2]
+    probs = spark.createDataFrame([(i, p) for i, p in enumerate([0.03, 0.2, 0.46, 0.71, 0.97, 0.55, 0.88])], "id int, p double")
+    assert sorted(r["id"] for r in sampling.uncertain_queries(probs, "p", "id", 2).collect()) == [2, 5]
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.004, 0.02])
