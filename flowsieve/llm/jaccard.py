@@ -4,9 +4,10 @@ Sets are classes: texts with equal sets share a node, so copies cost nothing fur
 d = s * (1 - share) / share shingles, s being the smaller size.
 
 1. Dealing out. Shingles are hashed into more than d groups; a differing shingle spoils one group, so some group holds the same shingles in both sets. A key is
-   (size class, group, hash of the group's shingles); sets near the top of a class go into the next one too. Only groups of LEAST shingles or more count, and a
-   set with too few of them is searched apart (``hard``). Sets that share a key are joined to the key's smallest node; the components of that
-   graph are clusters, and every link lies inside one. A key is met by a partial minimum and a join, so a hot key is split.
+   (size class, group, hash of the group's shingles); sets near the top of a class go into the next one too. Only groups of enough shingles count, and a
+   set with too few of them is searched apart (hard). Sets that share a key are joined to the key's smallest node; the components of that
+   graph are clusters, and every link lies inside one. A task joins what it has itself, FLUSH keys at a time, and sends each key once, so a key of very
+   many sets has few rows in the shuffle.
 2. R-tree. A cluster's sets are sorted by size and cut into blocks of bounded size, the upper boxes of the tree; inside a block, leaves hold LEAF sets. A set is a point:
    its shingles counted in GROUPS hash groups. The summed minima of two points (of a point and the largest counts of a box) bound the overlap; pairs that can
    reach the needed overlap are verified on the sets themselves, unless already connected.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import Memo, mix, shingles, slices, table, texts
@@ -40,6 +41,7 @@ CLASS_RATIO = 1.5
 DELEGATES = 8
 BROADCAST_IDS = 1_000_000
 HARD_BLOCK = 2000
+FLUSH = 1_000_000
 CONST = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,9 +86,11 @@ def keys_of(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, bool]:
     h = mix(s + CONST)
     for scheme in rule.schemes(len(s)):
         m, least = rule.groups(scheme)
-        group = (h % np.uint64(m)).astype(np.int64)
+        group = (h % np.uint64(m)).astype(np.uint16 if m < 65536 else np.int64)
         order = np.argsort(group, kind="stable")
-        where, start, load = np.unique(group[order], return_index=True, return_counts=True)
+        dealt = group[order]
+        start = np.concatenate([[0], np.flatnonzero(dealt[1:] != dealt[:-1]) + 1])
+        where, load = dealt[start], np.diff(start, append=len(dealt))
         sums = np.add.reduceat(h[order] * MULTIPLIER, start)
         use = load >= least
         hard |= int(use.sum()) <= rule.differ(len(s))
@@ -106,7 +110,8 @@ def node_of(s: np.ndarray) -> int | None:
     """Number of a set: a hash of all its shingles."""
     if not len(s):
         return None
-    total = np.add.reduce(mix(s ^ MULTIPLIER)) + np.bitwise_xor.reduce(mix(s + MULTIPLIER)) * CONST + np.uint64(len(s))
+    with np.errstate(over="ignore"):
+        total = np.add.reduce(mix(s ^ MULTIPLIER)) + np.bitwise_xor.reduce(mix(s + MULTIPLIER)) * CONST + np.uint64(len(s))
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
@@ -114,27 +119,49 @@ def _signatures(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, rule.width) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([keys_of(s, rule)[1] if len(s) else False for s in sets], pa.bool_())], ["doc_id", "n_shingles", "node", "hard"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
     return run
 
 
 def _keys(rule: Rule):
+    """Rows (key, node, null), each key once in FLUSH keys; rows (any key, node, other) for sets that met in the task, and (any key, node, node) for hard sets."""
+
+    def joined(keys: list[np.ndarray], nodes: list[int], hard: list[int]) -> pa.RecordBatch:
+        key, node = np.concatenate([*keys, np.empty(0, np.uint64)]), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+        pivot = node[first][np.cumsum(first) - 1] if len(key) else node
+        met = ~first & (pivot != node)
+        pairs = np.unique(np.stack([node[met], pivot[met]], axis=1), axis=0) if met.any() else np.empty((0, 2), np.int64)
+        pairs = np.concatenate([pairs, np.repeat(np.array(hard, np.int64)[:, None], 2, axis=1)])
+        spread = mix(pairs[:, 0].astype(np.uint64) + mix(pairs[:, 1].astype(np.uint64))).astype(np.int64)
+        other = pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(pairs[:, 1])])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first].astype(np.int64), spread])), pa.array(np.concatenate([node[first], pairs[:, 0]])), other], ["key", "node", "other"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        keys, nodes, hard, held = [], [], [], 0
         for batch in slices(batches, "text"):
-            nodes, keys = [], []
             for t in texts(batch):
                 s = shingle_set(t, rule.width)
                 node = node_of(s)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                k = keys_of(s, rule)[0]
-                keys.append(k)
-                nodes.append(np.full(len(k), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                own, odd = keys_of(s, rule)
+                keys.append(own)
+                nodes.append(node)
+                held += len(own)
+                if odd:
+                    hard.append(node)
+            if held >= FLUSH:
+                yield joined(keys, nodes, hard)
+                keys, nodes, hard, held = [], [], [], 0
+                if len(seen) > FLUSH:
+                    seen.clear()
+        yield joined(keys, nodes, hard)
 
     return run
 
@@ -364,9 +391,9 @@ def _sets(rule: Rule):
     return run
 
 
-def _hard_links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame | None:
+def _hard_links(docs: DataFrame, signed: DataFrame, hard: DataFrame, rule: Rule) -> DataFrame | None:
     """Links of the sets that the keys cannot vouch for, against all sets, HARD_BLOCK at a time."""
-    hard = signed.where("hard").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", "d.doc_id")
+    hard = signed.join(hard, "node").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", "d.doc_id")
     ids = [r[0] for r in hard.select("node").orderBy("node").toLocalIterator()]
     out = None
     for k in range(0, len(ids), HARD_BLOCK):
@@ -395,10 +422,12 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, node, grp: rows with one ``grp`` are connected; null for empty sets."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = durable(docs.mapInArrow(_signatures(rule), f"doc_id {kind}, n_shingles long, node long, hard boolean"), "signed")
-    keys = docs.select("text").mapInArrow(_keys(rule), "key long, node long")
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("key", "pivot")
-    stars = keys.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    signed = durable(docs.mapInArrow(_signatures(rule), f"doc_id {kind}, n_shingles long, node long"), "signed")
+    keys = docs.select("text").mapInArrow(_keys(rule), "key long, node long, other long")
+    pivot = F.min(F.when(F.col("other").isNull(), F.col("node"))).over(Window.partitionBy("key"))
+    stars = keys.select("node", F.coalesce("other", pivot).alias("b"), F.col("other").isNotNull().alias("sent")).where("node <> b OR sent").select(F.col("node").alias("a"), "b").distinct()
+    stars = durable(stars, "stars")
+    hard = stars.where("a = b").select(F.col("a").alias("node"))
     clusters = durable(components(stars).select("node", F.col("root").alias("cluster")), "clusters")
     chosen = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).join(clusters, "node").select("node", F.col("d.doc_id").alias("doc_id"), "cluster")
     chosen = durable(chosen, "chosen")
@@ -409,7 +438,7 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     if signed.groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").isEmpty() is False:
         points = points.dropDuplicates(["node"])
     links = verified_links(points, rule)
-    more = _hard_links(docs, signed, rule)
+    more = _hard_links(docs, signed, hard, rule)
     roots = components(links if more is None else links.unionByName(more))
     return signed.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("grp"))
 
