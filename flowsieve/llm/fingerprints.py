@@ -158,7 +158,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
     made = durable(dealt.mapInArrow(_neighbours(id_type), RESULT.format(id=kind) + OPEN), "fingerprints")
     ends = made.where("side IS NOT NULL").select("doc_id", "part", "side", "text")
     # A range's last row is followed by the next range's first one; ranges are numbered in order, and empty ones are absent.
