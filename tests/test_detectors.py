@@ -3,6 +3,7 @@ import pytest
 from conftest import planted
 from pyspark.sql import functions as F
 
+from flowsieve import session
 from flowsieve.operators import iforest, joins, knn, lof
 from flowsieve.operators.ocsvm import boundary_score, fit_boundary
 from flowsieve.plans.report import build_report
@@ -77,6 +78,20 @@ def test_vectors_add_up_in_two_steps(spark, monkeypatch):
     assert {r["arm"]: list(r["v"]) for r in sums.sum_vectors(df, ["arm"], 6).collect()} == one == {0: [300.0, 89700.0], 1: [300.0, 90000.0]}
 
 
+def test_correlated_wide_rows_visit_few_blocks(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(6000, 3)) @ rng.normal(size=(3, 64)) + 0.01 * rng.normal(size=(6000, 64))
+    points = lof.weighted_points(rows_of(spark, x))
+    turn = knn.turned(knn.principal_axes(points, len(x), 64))
+    on_axes = session.durable(points.withColumn("x", turn("x")), "turned")
+    share = []
+    for p in (points, on_axes):
+        blocks = knn.cut_into_blocks(p, len(x), 64, 10, 60)
+        visits = knn._route(blocks, 64, 10, 0).select(F.sum(F.length("rows") / 8)).first()[0]
+        share.append(visits / (len(x) * blocks.count()))
+    assert share[1] < 0.2 and share[1] < share[0] / 2, share
+
+
 def test_lof_in_many_dimensions(spark):
     check_lof(spark, np.random.default_rng(4).normal(size=(400, 40)), block_rows=64)
 
