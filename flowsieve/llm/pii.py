@@ -306,18 +306,18 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts per kind over all spans, digest of the base spans, and all spans."""
+    """Counts per kind and digest of the base spans, all spans, and how many of them the field added."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = all_spans([t or "" for t in texts(batch)], shared.value)
-            counts = [pa.array([sum(s[0] == k for s in spans) for _, spans in found], pa.int64()) for k in KINDS]
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([written(s) for _, s in found], pa.string())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([written(s) for _, s in found], pa.string()), pa.array([len(s) - len(base) for base, s in found], pa.int64())], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
