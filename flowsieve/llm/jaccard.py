@@ -341,14 +341,15 @@ def _range_blocks(points: DataFrame, rule: Rule, tag: str) -> DataFrame:
     return durable(points.repartitionByRange(parts, "cluster", "size", "node").sortWithinPartitions("cluster", "size", "node").select("cluster", "node", "set").mapInArrow(_blocks(rule), BLOCK_SCHEMA), tag)
 
 
-def verified_links(points: DataFrame, rule: Rule) -> DataFrame:
-    """A forest of verified links (a, b) with the same components as all links between points (cluster, node, size, set) of one cluster."""
+def verified_links(points: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """A forest of verified links (a, b) with the same components as all links between points (cluster, node, size, set) of one cluster, and the components
+    where they are known already."""
     base = _range_blocks(points, rule, "blocks")
     links = base.where("kind = 0").select("a", "b")
     several = lambda df: df.where("kind = 1").join(df.where("kind = 1").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster"), "cluster")
     many = several(base)
     if many.isEmpty():
-        return links
+        return links, None
     level = many
     while not level.isEmpty():
         delegates = level.select("cluster", "nodes", "sizes", "sets", "part").mapInArrow(_delegates, "cluster long, node long, size long, set binary")
@@ -371,7 +372,8 @@ def verified_links(points: DataFrame, rule: Rule) -> DataFrame:
     # Two open blocks meet once; sizes too far apart never link.
     fits = (F.col("x.low") * rule.num <= F.col("y.high") * rule.den) & (F.col("y.low") * rule.num <= F.col("x.high") * rule.den)
     pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") != F.col("y.block")) & (~F.col("y.open") | (F.col("x.block") < F.col("y.block"))) & fits)
-    return links.unionByName(durable(pairs.select(side("x"), side("y")).mapInArrow(_cross(rule), "a long, b long"), "cross"))
+    cross = durable(pairs.select(side("x"), side("y")).mapInArrow(_cross(rule), "a long, b long"), "cross")
+    return links.unionByName(cross), roots if cross.isEmpty() else None
 
 
 # --- the whole join --------------------------------------------------------------------------------------------------------------------
@@ -437,9 +439,10 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     points = near.mapInArrow(_sets(rule), "cluster long, node long, size long, set binary")
     if signed.groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").isEmpty() is False:
         points = points.dropDuplicates(["node"])
-    links = verified_links(points, rule)
+    links, roots = verified_links(points, rule)
     more = _hard_links(docs, signed, hard, rule)
-    roots = components(links if more is None else links.unionByName(more))
+    if roots is None or more is not None:
+        roots = components(links if more is None else links.unionByName(more))
     return signed.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("grp"))
 
 
