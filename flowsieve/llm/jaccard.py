@@ -4,8 +4,8 @@ Sets are classes: texts with equal sets share a node, so copies cost nothing fur
 d = s * (1 - share) / share shingles, s being the smaller size.
 
 1. Dealing out. Shingles are hashed into more than d groups; a differing shingle spoils one group, so some group holds the same shingles in both sets. A key is
-   (size class, group, hash of the group's shingles); sets near the top of a class go into the next one too. Only groups of enough shingles count, and a
-   set with too few of them is searched apart (hard). Sets that share a key are joined to the key's smallest node; the components of that
+   (size class, group, hash of the group's shingles); sets near the top of a class go into the next one too. Only groups of enough shingles count: as many
+   as leave more full groups than can be spoiled. A set with too few groups of any content is searched apart (hard). Sets that share a key are joined to the key's smallest node; the components of that
    graph are clusters, and every link lies inside one. A task joins what it has itself, FLUSH keys at a time, and sends each key once, so a key of very
    many sets has few rows in the shuffle.
 2. R-tree. A cluster's sets are sorted by size and cut into blocks of bounded size, the upper boxes of the tree; inside a block, leaves hold LEAF sets. A set is a point:
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +72,29 @@ class Rule:
         return [own, own + 1] if size * self.den >= self.num * CLASS_RATIO ** (own + 1) - 1 else [own]
 
     def groups(self, scheme: int) -> tuple[int, int]:
-        """Number of groups and the least shingles of one that counts."""
-        top = CLASS_RATIO ** (scheme + 1)
-        return math.ceil(1.1 * top * (self.den - self.num) / self.num) + (3 if top < 200 else 5), 1 if top < 60 else 2 if top < 200 else 3
+        """Number of groups and the shingles of one that counts, to begin with."""
+        return _groups(self.num, self.den, scheme)
+
+
+@lru_cache(maxsize=None)
+def _groups(num: int, den: int, scheme: int) -> tuple[int, int]:
+    top = CLASS_RATIO ** (scheme + 1)
+    spoiled = (den - num) / num
+    m, least = math.ceil(1.1 * top * spoiled) + (3 if top < 200 else 5), 1 if top < 60 else 2 if top < 200 else 3
+    if spoiled < 0.112:
+        return m, least
+    # At shares under 0.9 so few groups are not full often enough: more of them, and of fewer shingles each. The smallest sets of a class come from under it.
+    sizes = [share * top for share in (1, 0.9, 0.8, 0.7, 0.6, num / den / CLASS_RATIO)]
+    for fewer in range(least, 0, -1):
+        for load in np.arange(8, 0.4, -0.1):
+            if all(full(n / top * load, fewer) / (n / top * load) > 1.1 * spoiled for n in sizes):
+                return math.ceil(top / load) + (100 if top < 8 else 30 if top < 20 else 8), fewer
+    return math.ceil(2 * top) + 8, 1
+
+
+def full(load: float, least: int) -> float:
+    """Share of groups with ``least`` shingles or more, if each has ``load`` on average."""
+    return 1 - math.exp(-load) * sum(load**k / math.factorial(k) for k in range(least))
 
 
 def keys_of(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, bool]:
@@ -92,6 +113,10 @@ def keys_of(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, bool]:
         start = np.concatenate([[0], np.flatnonzero(dealt[1:] != dealt[:-1]) + 1])
         where, load = dealt[start], np.diff(start, append=len(dealt))
         sums = np.add.reduceat(h[order] * MULTIPLIER, start)
+        # If either of two linked sets has more full groups than can be spoiled, one of these is whole in both. A set without enough counts smaller groups
+        # too, and so still has the keys of a set that need not.
+        while least > 1 and int((load >= least).sum()) <= rule.differ(len(s)):
+            least -= 1
         use = load >= least
         hard |= int(use.sum()) <= rule.differ(len(s))
         out.append(mix(sums[use] + where[use].astype(np.uint64) * CONST + np.uint64(scheme << 40) + load[use].astype(np.uint64)))
@@ -461,10 +486,14 @@ def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     return inner.join(first, inner["doc_id"].eqNullSafe(first["kept_id"]), "left_semi").toDF(*names)
 
 
+NEAR_COPIES = Rule(80, 100, 5)
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return join(table(spark, folder, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies. No contract binds the stage, so the general rule holds: 0.8 of the shingles of five words, not that of ``op5``."""
     del spark, folder
-    return keep_one(docs)
+    return keep_one(docs, NEAR_COPIES)
