@@ -2,13 +2,14 @@
 
 Examples are at most LABELLED labelled rows, the first in a hash order of their ids; they are the only thing that is sampled. Terms are words and the runs of four and
 five letters in them. A term counts if the odds of toxic examples among those with it are LIFT times the usual ones, and beyond chance, given how many terms are tried; at most
-TERMS are kept.
-Inverse document frequencies of the terms come from all documents, and every document is scored.
+TERMS are kept. A text without any of these terms is compared by all its words with the examples that have none either.
+Inverse document frequencies of terms and words come from all documents, and every document is scored.
 
 The index holds, for every term, the largest weight in each block of examples. A query sums these maxima to a bound per block, opens blocks in
 order of their bounds, and stops when no bound can beat the NEAR nearest found, so the neighbours are exact. They vote with their cosine as
-weight. Votes become probabilities by isotonic regression on the examples' own votes, each found without itself; a text without any term gets the
-toxic share of such examples. Evidence are the nearest examples' ids.
+weight. Votes become probabilities by isotonic regression on the examples' own votes, each found without itself, for texts with terms and for the others apart.
+All words are too many for rows of all examples: their index is a list of examples and weights per word, which is summed whole. A text that shares no word with
+such examples gets their toxic share. Evidence are the nearest examples' ids.
 
 Nulls: a null text is empty; labels without doc_id or toxic are left out; a document with several labels is toxic if one says so. Without
 examples every score is 0. Equal cosines go by the order of examples. An empty table gives no rows. Further columns are left out.
@@ -109,30 +110,44 @@ def select_terms(sample: DataFrame) -> dict[str, int]:
     return {r["term"]: k for k, r in enumerate(best.collect())}
 
 
-def frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
-    """Documents of the whole table that hold each term; the last entry counts all documents."""
+def example_words(sample: DataFrame) -> dict[str, int]:
+    """All words of the examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {w for batch in slices(batches, "text") for text in texts(batch) for w in WORD.findall((text or "").lower())}
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
+
+    found = sample.select("text").mapInArrow(run, "word string").distinct().toArrow().column("word").to_pylist()
+    return {w: k for k, w in enumerate(sorted(found))}
+
+
+def frequencies(docs: DataFrame, vocabulary, words) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of the whole table that hold each term and each word; the last entry counts all documents."""
     size = len(vocabulary.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Finder(vocabulary.value), np.zeros(size + 1, np.int64)
+        known, number, total = Finder(vocabulary.value), words.value, np.zeros(size + len(words.value) + 1, np.int64)
         for batch in slices(batches, "text"):
             for text in texts(batch):
                 total[list(known.counts(text))] += 1
+                total[[size + number[w] for w in set(WORD.findall((text or "").lower())) if w in number]] += 1
                 total[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    out = np.zeros(size + 1, np.int64)
-    for term, n in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        out[term] = n
-    return out
+    out = np.zeros(size + len(words.value) + 1, np.int64)
+    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    return np.append(out[:size], out[-1]), out[size:]
 
 
 class Weights:
-    """Unit TF-IDF vectors over the chosen terms."""
+    """Unit TF-IDF vectors over the chosen terms, and over all words of the examples."""
 
-    def __init__(self, vocabulary: dict[str, int], counts: np.ndarray):
-        self.vocabulary = vocabulary
-        self.idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1
+    def __init__(self, vocabulary: dict[str, int], counts: np.ndarray, words: dict[str, int], word_counts: np.ndarray):
+        self.vocabulary, self.words = vocabulary, words
+        self.idf, self.word_idf = (np.log((n[-1] + 1) / (n[:-1] + 1)) + 1 for n in (counts, word_counts))
+        self.unseen = float(np.log(word_counts[-1] + 1)) + 1
 
     def vector(self, text: str | None, known: Finder) -> tuple[np.ndarray, np.ndarray]:
         counts = known.counts(text)
@@ -140,6 +155,15 @@ class Weights:
         w = np.array([1 + np.log(counts[t]) for t in at.tolist()]) * self.idf[at] if len(at) else np.empty(0)
         return at, w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
+    def word_vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Words no example has count in the length only, as the rarest."""
+        counts = Counter(WORD.findall((text or "").lower()))
+        found = {self.words[w]: n for w, n in counts.items() if w in self.words}
+        at = np.fromiter(found, np.int64, len(found))
+        w = (1 + np.log(np.fromiter(found.values(), float, len(found)))) * self.word_idf[at]
+        rest = (1 + np.log(np.array([n for w, n in counts.items() if w not in self.words] or [0.0]).clip(1e-12))).clip(0) * self.unseen
+        return at, w / max(float(np.sqrt((w * w).sum() + (rest * rest).sum())), 1e-12)
+
 
 class Index:
     """Block-max index over the examples."""
@@ -178,6 +202,32 @@ class Index:
         return float((cosine * self.toxic[rows]).sum() / (cosine.sum() + SHRINK)), rows
 
 
+class Postings:
+    """Examples and weights per word; cosines of all examples at once."""
+
+    def __init__(self, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], words: int):
+        self.ids, self.toxic = ids, toxic.astype(float)
+        at = np.concatenate([a for a, _ in vectors])
+        order = np.argsort(at, kind="stable")
+        self.rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a, _ in vectors])[order]
+        self.weights = np.concatenate([w for _, w in vectors]).astype(np.float32)[order]
+        self.start = np.searchsorted(at[order], np.arange(words + 1))
+
+    def near(self, at: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the NEAR nearest examples with a positive cosine; ``but`` is left out."""
+        low, n = self.start[at], self.start[at + 1] - self.start[at]
+        each = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        cosine = np.round(np.bincount(self.rows[each], self.weights[each] * np.repeat(w, n), len(self.ids)), 6)
+        if but >= 0:
+            cosine[but] = 0
+        floor = np.partition(cosine, -NEAR)[-NEAR] if len(cosine) > NEAR else 0.0
+        hit = np.flatnonzero((cosine >= floor) & (cosine > 0))
+        hit = hit[np.argsort(-cosine[hit], kind="stable")][:NEAR]
+        return hit, cosine[hit]
+
+    vote = Index.vote
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y on x."""
     stack: list[list[float]] = []
@@ -194,39 +244,55 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Model:
     def __init__(self, weights: Weights, rows: list[tuple]):
-        known = [(i, y, (np.array(a, np.int64), np.array(w))) for i, y, a, w in rows]
-        filled = [r for r in known if len(r[2][0])]
-        rest = [r[1] for r in known if not len(r[2][0])]
+        """Rows are doc_id, toxic, chosen terms and weights, words and weights (of examples without chosen terms)."""
+        known = [(i, y, (np.array(a, np.int64), np.array(w)), (np.array(b, np.int64), np.array(v))) for i, y, a, w, b, v in rows]
+        filled, rest = [r for r in known if len(r[2][0])], [r for r in known if not len(r[2][0])]
         self.weights = weights
-        self.blank = (sum(rest) + sum(r[1] for r in known) / max(len(known), 1)) / (len(rest) + 1)
-        self.index = Index([r[0] for r in filled], np.array([r[1] for r in filled]), [r[2] for r in filled], len(weights.vocabulary)) if filled else None
+        self.blank = (sum(r[1] for r in rest) + sum(r[1] for r in known) / max(len(known), 1)) / (len(rest) + 1)
+        toxic = np.array([r[1] for r in filled], float)
+        self.index = Index([r[0] for r in filled], toxic, [r[2] for r in filled], len(weights.vocabulary)) if filled else None
         if self.index:
-            votes = np.array([self.index.vote(*r[2], but=self.index.place[k])[0] for k, r in enumerate(filled)])
-            self.knots = isotonic(votes, np.array([r[1] for r in filled], float))
+            self.knots = isotonic(np.array([self.index.vote(*r[2], but=self.index.place[k])[0] for k, r in enumerate(filled)]), toxic)
+        rest = [r for r in rest if len(r[3][0])]
+        toxic = np.array([r[1] for r in rest], float)
+        self.postings = Postings([r[0] for r in rest], toxic, [r[3] for r in rest], len(weights.words)) if rest else None
+        if self.postings:
+            self.word_knots = isotonic(np.array([self.postings.vote(*r[3], but=k)[0] for k, r in enumerate(rest)]), toxic)
 
     def score(self, text: str | None, known: Finder) -> tuple[float, list]:
         at, w = self.weights.vector(text, known)
-        if not len(at) or self.index is None:
+        index, knots = (self.index, self.knots) if len(at) and self.index else (self.postings, self.word_knots if self.postings else None)
+        if index is self.postings:
+            at, w = self.weights.word_vector(text) if index else (at, w)
+        if index is None or not len(at):
+            return self.blank, []
+        vote, rows = index.vote(at, w)
+        if not len(rows):
             return self.blank, []
-        vote, rows = self.index.vote(at, w)
         # A little of the vote itself keeps the order of votes inside one step.
-        return float(np.clip(0.98 * np.interp(vote, *self.knots) + 0.02 * vote, 0, 1)), [self.index.ids[r] for r in rows[:5].tolist()]
+        return float(np.clip(0.98 * np.interp(vote, *knots) + 0.02 * vote, 0, 1)), [index.ids[r] for r in rows[:5].tolist()]
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(select_terms(sample))
-    weights = Weights(shared.value, frequencies(docs, shared))
+    words = spark.sparkContext.broadcast(example_words(sample))
+    counts, word_counts = frequencies(docs, shared, words)
+    weights = Weights(shared.value, counts, words.value, word_counts)
+    sent = spark.sparkContext.broadcast(weights)
     kind = sample.schema["doc_id"].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = sent.value
         known = Finder(weights.vocabulary)
         for batch in slices(batches, "text"):
             got = [weights.vector(t, known) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
+            more = [((), ()) if len(a) else weights.word_vector(t) for t, (a, _) in zip(texts(batch), got)]
+            lists = [pa.array([x[j] for x in side], pa.list_(k)) for side in (got, more) for j, k in ((0, pa.int64()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "weights", "words", "word_weights"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<bigint>, weights array<double>").orderBy("doc_id").collect()
-    return Model(weights, [tuple(r) for r in rows])
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<bigint>, weights array<double>, words array<bigint>, word_weights array<double>").orderBy("doc_id").toArrow()
+    return Model(weights, list(zip(*(c.to_pylist() if k < 2 else c.to_numpy() for k, c in enumerate(rows.columns)))))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
