@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from flowsieve.llm import decontaminate as D
 from flowsieve.llm import packing, pii
 from test_jaccard import plain
-from flowsieve.llm.jaccard import Rule
+from flowsieve.llm.jaccard import NEAR_COPIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def test_stages_take_effect(spark, tmp_path):
     before = {r.doc_id: r.text for r in source.collect()}
     text = {n: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for n, df in seen.items() if n != "packing"}
     assert set(text["language"]) == {k for k, t in before.items() if t and any(c.isalpha() for c in t)}
-    groups = plain(sorted(text["language"].items()), Rule())
+    groups = plain(sorted(text["language"].items()), NEAR_COPIES)
     assert set(text["near_copies"]) == {d for d, _, c in groups if d == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     hits = {d: n for d, _, n, *_ in D.brute(sorted(text["near_copies"].items()), items)}
