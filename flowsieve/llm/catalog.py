@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import conversations, decontaminate, fingerprints, html, jaccard, language, packing, pii, scoring, toxicity, urls, whitening
+from flowsieve.llm import conversations, decontaminate, fingerprints, html, jaccard, language, packing, pii, quality, scoring, toxicity, urls, whitening
 
 QUERIES = {
     "op1_lm_scoring": scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": html.op8_html_extraction,
     "op9_url_filter": urls.op9_url_filter,
     "op10_packing": packing.op10_packing,
+    "op11_quality": quality.op11_quality,
     "op12_whitening": whitening.op12_whitening,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
