@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
 from flowsieve.functions.labels import feature_columns, normalize_label, not_benign
-from flowsieve.operators import ensemble, metrics, sampling, stats, windows
+from flowsieve.operators import ensemble, knn, lsh, metrics, sampling, stats, windows
 from flowsieve.plans import active_learning, label_budget, report, subsets, supervised
 from flowsieve.session import durable
 from flowsieve.sources import benchmarks, tables
@@ -400,6 +400,21 @@ def q_lof_flows(spark, folder):
     return report.lof_flags(rows, "id").withColumn("lof_score", F.round("lof_score", 4))
 
 
+@query("q_lof_lsh", """SELECT count(*) AS points, CAST(count(*) * 20 AS BIGINT) AS neighbours, true AS recall_reached,
+CAST(count(*) - 1 - floor((count(*) - 1) * 0.88) AS BIGINT) AS flagged, true AS flags_agree FROM embeddings""")
+def q_lof_lsh(spark, folder):
+    """Neighbours and factors from hash tables, held against the exact ones: how many there are, and whether recall and flags come up to 0.9."""
+    rows, fitted = scaled_view(vectors(spark, folder), [f"e{i}" for i in range(DIMS)], "vec_id")
+    points = durable(knn.weighted_points(rows), "points", fitted.rows)
+    exact = knn.nearest_neighbours(points, fitted.rows, DIMS, 20).select("key", F.array_max("dist").alias("far"))
+    near = lsh.hashed_neighbours(points, fitted.rows, DIMS, 20, bucket=128).near.join(exact, "key")
+    inside = F.aggregate(F.filter("dist", lambda v: v <= F.col("far") * (1 + 1e-9)), F.lit(0), lambda a, _: a + 1)
+    searched = near.agg(F.count(F.lit(1)).alias("points"), F.sum(F.size("q")).alias("neighbours"), (F.avg(inside / 20.0) >= 0.9).alias("recall_reached"))
+    flags = report.lof_flags(rows, "vec_id", search="hashed").select("vec_id", "lof_flag").join(report.lof_flags(rows, "vec_id").select("vec_id", F.col("lof_flag").alias("exact_flag")), "vec_id")
+    both = flags.agg(F.sum("lof_flag").cast("bigint").alias("flagged"), (F.sum(F.col("lof_flag") * F.col("exact_flag")) >= 0.9 * F.sum("exact_flag")).alias("flags_agree"))
+    return searched.join(F.broadcast(both))  # one row each
+
+
 @query("q_ocsvm")
 def q_ocsvm(spark, folder):
     rows, fitted = scaled_view(flows4(spark, folder), FOUR, "id")
