@@ -1,15 +1,16 @@
-"""One-class boundary with an RBF kernel.
+"""One-class boundary with an RBF kernel, by random Fourier features.
 
-The dual asks for the shortest convex combination w of the rows' kernel features in which no row weighs more than 1 / (nu * n).
-Each pass over all rows finds those that w scores lowest; their mean joins the means found before, and w becomes the shortest
-convex combination of them all, a problem of a few dozen unknowns. It stops when the duality gap is small.
+A seeded map turns a row into FEATURES cosines and sines whose inner products are close to the kernel's values. In their space the boundary is the shortest
+convex combination w of all rows in which no row weighs more than 1 / (nu * n). A subgradient step asks for the mean of the nu * n rows that w scores lowest. Tasks add those rows up and
+the sums meet in a tree; w then becomes the shortest mix of all means found so far, a problem of a few dozen unknowns. It stops when the duality gap is small.
 
-Features are taken relative to at most LANDMARKS rows picked by hash (Nystrom). A table with no more rows than that is solved with
-its exact kernel; beyond, the kernel is projected onto the landmarks.
+Where the lowest nu * n rows end is found by counting all rows in bins of their score. Rows of the bin that holds the limit share the weight that is left. If that
+bin holds too many rows, the pass is made again with finer bins inside it. Every row takes part at any size, in the same way; nothing is sampled.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.arrow import matrix
-from flowsieve.functions.columns import col
 from flowsieve.operators.sums import sum_vectors
 
-LANDMARKS = 1024
-MAX_PASSES = 40
-PROBE_ROWS = 8192
+FEATURES = 1024
+MAX_PASSES = 80
+BINS = 32
+# The bin of the limit may hold this share of nu * n rows.
+FINE = 0.01
 CHUNK = 2048
 
 
@@ -32,78 +34,98 @@ def clamp_nu(contamination: float) -> float:
     return max(0.01, min(0.5, contamination))
 
 
+@dataclass(frozen=True)
+class FeatureMap:
+    """Frequencies (d, FEATURES / 2) of an RBF kernel exp(-gamma * distance^2)."""
+
+    frequencies: np.ndarray
+
+    @staticmethod
+    def draw(d: int, gamma: float, seed: int, features: int = FEATURES) -> FeatureMap:
+        """Directions come in orthogonal sets of d, with the lengths of Gaussian vectors: less variance than independent ones."""
+        rng = np.random.default_rng(seed)
+        half = features // 2
+        sets = [np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-half // d))]
+        directions = np.hstack(sets)[:, :half]
+        lengths = np.sqrt(rng.chisquare(d, half))
+        return FeatureMap(directions * lengths * np.sqrt(2 * gamma))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        along = (x @ self.frequencies).astype(np.float32)
+        return np.hstack([np.cos(along), np.sin(along)]) / np.float32(np.sqrt(along.shape[1]))
+
+
 @dataclass(frozen=True)
 class Boundary:
-    """Landmark rows, their coefficients, the kernel width, and the scale of the dual (nu * n)."""
+    """The feature map, the weights, the scale of the dual (nu * n), the relative duality gap reached and the passes over all rows it took."""
 
-    landmarks: np.ndarray
-    coefficients: np.ndarray
-    gamma: float
+    features: FeatureMap
+    weights: np.ndarray
     scale: float
     gap: float
     passes: int
+    converged: bool
 
 
-def kernel(x: np.ndarray, landmarks: np.ndarray, gamma: float) -> np.ndarray:
-    squared = (x * x).sum(1)[:, None] + (landmarks * landmarks).sum(1)[None, :] - 2.0 * (x @ landmarks.T)
-    return np.exp(-gamma * np.maximum(squared, 0.0))
-
-
-def _tail_sums(rows: DataFrame, landmarks: np.ndarray, gamma: float, coefficients: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, kernel sums) of three groups: scores under ``low``, from there to under ``high``, and the rest."""
-    m = len(landmarks)
-
-    def run(batches):
-        total = np.zeros((3, 1 + m))
-        for batch in batches:
-            x = matrix(batch.column("x"))
-            for s in range(0, len(x), CHUNK):
-                near = kernel(x[s:s + CHUNK], landmarks, gamma)
-                score = near @ coefficients
-                group = (score >= low).astype(int) + (score >= high)
-                for g in range(3):
-                    total[g, 0] += (group == g).sum()
-                    total[g, 1:] += near[group == g].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
-
-    partial = rows.select("x").mapInArrow(run, "v array<double>")
-    summed = np.array(sum_vectors(partial, [], rows.rdd.getNumPartitions()).first()["v"])
-    return summed.reshape(3, 1 + m)[:, 0], summed.reshape(3, 1 + m)[:, 1:]
-
-
-def _picked_rows(rows: DataFrame, id_col: str, count: int, wanted: int, seed: int) -> np.ndarray:
-    """``wanted`` rows in hash order, or all if there are fewer."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), col(id_col)), F.lit(1 << 53))
-    share = min(1.0, (wanted + 6 * np.sqrt(wanted)) / count)
-    near = rows.where(draw <= int(share * (1 << 53))).select("x", draw.alias("draw"))
-    found = near.orderBy("draw", "x").limit(wanted).select("x").collect()
-    return np.array([r[0] for r in found], dtype=float)
-
-
-def _cuts(scores: np.ndarray, nu: float, whole: bool) -> tuple[float, float]:
-    """Scores between which the weight limit is reached: the one row where the probe is the whole table, else a band as wide
-    as the sampling error."""
-    order = np.sort(scores)
-    n = len(order)
-    if not whole:
-        slack = 2.5 * np.sqrt(nu * (1 - nu) / n)
-        return tuple(np.quantile(order, [max(0.0, nu - slack), min(1.0, nu + slack)]))
-    at = min(n - 1, int(nu * n))
-    under = -np.inf if at == 0 else (order[at - 1] + order[at]) / 2
-    return under, np.inf if at + 1 >= n else (order[at] + order[at + 1]) / 2
-
-
-def _lowest_mean(count: np.ndarray, sums: np.ndarray, mass: float) -> np.ndarray:
-    """Mean over the lowest rows, each with a weight of at most 1 / mass; the next group shares what the lower ones leave."""
-    left, out = mass, np.zeros(sums.shape[1])
-    for n, s in zip(count, sums):
-        if n > 0 and left > 0:
-            out += min(1.0, left / n) * s
-            left -= min(n, left)
-    return out / (mass - left)
-
-
-def shortest_mix(gram: np.ndarray, steps: int = 20_000) -> np.ndarray:
+@dataclass(frozen=True)
+class Pass:
+    """One pass over all rows: their number and feature sums per score bin, and the least and largest score.
+
+    Bin 0 lies under ``edges[0]``, the last one from ``edges[-1]`` on; of that only the number is known."""
+
+    edges: np.ndarray
+    count: np.ndarray
+    sums: np.ndarray
+    low: float
+    high: float
+
+    @staticmethod
+    def run(rows: DataFrame, features: FeatureMap, weights: np.ndarray, edges: np.ndarray) -> Pass:
+        size, bins = len(weights), len(edges) + 1
+        shared = rows.sparkSession.sparkContext.broadcast((features, weights, edges))
+
+        def collect(batches):
+            features, weights, edges = shared.value
+            count, sums, ends = np.zeros(bins), np.zeros((bins - 1, size)), [np.inf, -np.inf]
+            for batch in batches:
+                x = matrix(batch.column("x"))
+                for s in range(0, len(x), CHUNK):
+                    z = features(x[s : s + CHUNK])
+                    score = z @ weights
+                    place = np.searchsorted(edges, score, side="right")
+                    count += np.bincount(place, minlength=bins)
+                    mine = np.flatnonzero(place < bins - 1)
+                    if len(mine):
+                        onto = np.zeros((bins - 1, len(mine)), np.float32)
+                        onto[place[mine], np.arange(len(mine))] = 1
+                        sums += onto @ z[mine]
+                    ends = [min(ends[0], score.min()), max(ends[1], score.max())]
+            yield pa.RecordBatch.from_arrays([pa.array([[*count, *sums.ravel()]], pa.list_(pa.float64())), pa.array([ends[0]]), pa.array([ends[1]])], ["v", "low", "high"])
+
+        # The sums of a task are some 300 kB; they are written nowhere and add up before they meet.
+        partial = rows.select("x").mapInArrow(collect, "v array<double>, low double, high double").withColumn("one", F.lit(1))
+        ends = {"low": F.min("low"), "high": F.max("high")}
+        total = sum_vectors(partial, ["one"], rows.sparkSession.sparkContext.defaultParallelism, ends).first()
+        v = np.array(total["v"])
+        return Pass(edges, v[:bins], v[bins:].reshape(bins - 1, size), total["low"], total["high"])
+
+    def limit_bin(self, mass: float) -> int:
+        """The bin where the lowest ``mass`` rows end."""
+        return min(int(np.searchsorted(np.cumsum(self.count), mass * (1 - 1e-12), side="left")), len(self.count) - 1)
+
+    def lowest_mean(self, mass: float) -> np.ndarray:
+        at = self.limit_bin(mass)
+        before = self.count[:at].sum()
+        return (self.sums[:at].sum(0) + (mass - before) / self.count[at] * self.sums[at]) / mass
+
+    def span(self, at: int) -> tuple[float, float]:
+        """Where the scores of a bin lie."""
+        low = self.low if at == 0 else max(self.low, self.edges[at - 1])
+        high = self.high if at == len(self.edges) else min(self.high, self.edges[at])
+        return low, high
+
+
+def shortest_mix(gram: np.ndarray, steps: int = 100_000) -> np.ndarray:
     """Weights on the simplex that make the combination with this Gram matrix shortest."""
     mix = np.full(len(gram), 1.0 / len(gram))
     slope = gram @ mix
@@ -111,56 +133,64 @@ def shortest_mix(gram: np.ndarray, steps: int = 20_000) -> np.ndarray:
         up = int(np.argmin(slope))
         down = int(np.argmax(np.where(mix > 0, slope, -np.inf)))
         if slope[down] - slope[up] <= 1e-10 * abs(slope[up]):
-            break
+            return mix
         curve = gram[up, up] + gram[down, down] - 2.0 * gram[up, down]
         step = min(mix[down], (slope[down] - slope[up]) / max(curve, 1e-300))
         mix[up] += step
         mix[down] -= step
         slope += step * (gram[:, up] - gram[:, down])
+    warnings.warn("The mix of means did not settle; its duality gap tells how far it is off.", stacklevel=2)
     return mix
 
 
-def fit_boundary(rows: DataFrame, id_col: str, count: int, gamma: float, nu: float, seed: int = 42, max_landmarks: int = LANDMARKS,
+def fit_boundary(rows: DataFrame, count: int, d: int, gamma: float, nu: float, seed: int = 42, features: int = FEATURES,
                  max_passes: int = MAX_PASSES, tolerance: float = 1e-3) -> Boundary:
-    """``rows`` holds ``x`` (array<double>). At most PROBE_ROWS rows, picked by hash, reach the driver: the first ones are the
-    landmarks, all of them tell how low a score is low."""
-    probe = _picked_rows(rows, id_col, count, PROBE_ROWS, seed)
-    landmarks = probe[:max_landmarks]
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks, gamma))
-    kept = values > 1e-10 * values.max()
-    # Kernel sums times ``half`` are coordinates in the feature space.
-    half = vectors[:, kept] / np.sqrt(values[kept])
-    near_probe = kernel(probe, landmarks, gamma)
+    """``rows`` holds ``x`` (array<double> of length d), ``count`` rows. A warning says so if ``max_passes`` passes are not enough."""
+    shape = FeatureMap.draw(d, gamma, seed, features)
     mass = nu * count
-    whole = len(probe) == count
-
-    passes, gap, means = 1, float("inf"), []
-    total, sums = _tail_sums(rows, landmarks, gamma, np.zeros(len(landmarks)), 1.0, 2.0)
-    weights = sums.sum(0) / total.sum() @ half
-    means.append(weights)
+    size = shape.frequencies.shape[1] * 2
+    start = Pass.run(rows, shape, np.zeros(size), np.array([1.0]))  # all rows in one bin: their mean
+    weights, means, passes, gap = start.sums[0] / count, [start.sums[0] / count], 1, np.inf
+    cut, width = 0.0, 1.0
     while passes < max_passes:
-        coefficients = half @ weights
-        low, high = _cuts(near_probe @ coefficients, nu, whole)
-        target = _lowest_mean(*_tail_sums(rows, landmarks, gamma, coefficients, low, high), mass) @ half
-        passes += 1
-        gap = float(weights @ (weights - target)) / float(weights @ weights)
+        seen, edges = None, np.linspace(cut - width, cut + width, BINS + 1)
+        while passes < max_passes:
+            seen = Pass.run(rows, shape, weights, edges)
+            passes += 1
+            at = seen.limit_bin(mass)
+            low, high = seen.span(at)
+            last = at == len(seen.edges)
+            if not last and (seen.count[at] <= max(1.0, FINE * mass) or high - low <= 1e-7):
+                break
+            # The limit lies in too full a bin, or above all edges: look inside. The least float above its end keeps the top rows in.
+            edges = np.linspace(low, np.nextafter(np.float32(high), np.float32(np.inf)), BINS + 1)
+        if seen is None or seen.limit_bin(mass) == len(seen.edges):
+            break
+        target = seen.lowest_mean(mass)
+        low, high = seen.span(seen.limit_bin(mass))
+        # Sharing the last bin's weight evenly overstates the target by at most its share times its width.
+        slack = seen.count[seen.limit_bin(mass)] / mass * (high - low)
+        gap = float(weights @ (weights - target) + slack) / float(weights @ weights)
         if gap <= tolerance:
             break
         means.append(target)
         stack = np.array(means)
-        weights = shortest_mix(stack @ stack.T) @ stack
-    return Boundary(landmarks, half @ weights, gamma, mass, gap, passes)
+        before, weights = cut, shortest_mix(stack @ stack.T) @ stack
+        cut = (low + high) / 2
+        width = max(2 * (high - low), 2 * abs(cut - before), 1e-3 * max(abs(cut), 1e-3))
+    if gap > tolerance:
+        warnings.warn(f"The one-class boundary stopped after {passes} passes with a duality gap of {gap:.2g}.", stacklevel=2)
+    return Boundary(shape, weights, mass, gap, passes, gap <= tolerance)
 
 
 def boundary_score(rows: DataFrame, boundary: Boundary, x: Column) -> Column:
     """Higher is more anomalous."""
-    shared = rows.sparkSession.sparkContext.broadcast((boundary.landmarks, boundary.coefficients, boundary.gamma, boundary.scale))
+    shared = rows.sparkSession.sparkContext.broadcast(boundary)
 
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
-        landmarks, coefficients, gamma, scale = shared.value
+        b = shared.value
         x = np.vstack(xs.to_numpy())
-        parts = [kernel(x[s:s + CHUNK], landmarks, gamma) @ coefficients for s in range(0, len(x), CHUNK)]
-        return pd.Series(-scale * np.concatenate(parts))
+        return pd.Series(-b.scale * np.concatenate([(b.features(x[s : s + CHUNK]) @ b.weights).astype(float) for s in range(0, len(x), CHUNK)]))
 
     return score(x)
