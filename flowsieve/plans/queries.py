@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
 from flowsieve.functions.labels import feature_columns, normalize_label, not_benign
-from flowsieve.operators import ensemble, knn, lsh, metrics, sampling, stats, windows
+from flowsieve.operators import ensemble, iforest, knn, lsh, metrics, sampling, stats, windows
 from flowsieve.plans import active_learning, label_budget, report, subsets, supervised
 from flowsieve.session import durable
 from flowsieve.sources import benchmarks, tables
@@ -366,7 +366,13 @@ def scaled_view(df: DataFrame, features: list[str], id_col: str):
     return report.scaled_rows(clean, features, id_col, fitted), fitted
 
 
-@query("q_iforest")
+SCALED4 = f"{FLOWS4}, {S4}, scaled4 AS (SELECT id, " + ", ".join(f"(({c} - m_{c}) / s_{c}) AS {c}" for c in FOUR) + " FROM flows4, s)"
+
+
+@query("q_iforest", f"""WITH {SCALED4},
+{iforest.forest_sql('scaled4', FOUR)},
+nine AS (SELECT id, round(score, 9) AS score FROM forest_scores), cut AS (SELECT quantile_cont(score, 0.88) AS c FROM nine)
+SELECT id, round(score, 4) AS isolation_forest_score, CAST(score > c AS INTEGER) AS isolation_forest_flag FROM nine, cut""")
 def q_iforest(spark, folder):
     rows, fitted = scaled_view(flows4(spark, folder), FOUR, "id")
     return report.forest_flags(rows, "id", fitted.rows).withColumn("isolation_forest_score", F.round("isolation_forest_score", 4))

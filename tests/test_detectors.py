@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import planted
 from pyspark.sql import functions as F
@@ -109,6 +111,20 @@ def test_forest_ranks_planted_points_first(spark):
     assert np.array_equal(scores, other)
 
 
+@pytest.mark.parametrize("n, trees, sample", [(5000, 30, 64), (300, 12, 32)])
+def test_forest_equals_its_sql(spark, n, trees, sample):
+    rng = np.random.default_rng(n)
+    x = np.column_stack([rng.normal(size=n), np.ones(n), rng.integers(0, 4, n).astype(float)])
+    x[: n // 3] = x[0]
+    pdf = pd.DataFrame({"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})  # noqa: F841
+    sql = f"WITH {iforest.forest_sql('pdf', ['a', 'b', 'c'], trees, sample, 7)} SELECT id, score FROM forest_scores ORDER BY id"
+    want = duckdb.sql(sql).df()["score"].to_numpy()
+    rows = rows_of(spark, x)
+    forest = iforest.fit_forest(rows, "id", "x", trees, sample, 7)
+    got = [r["s"] for r in rows.select("id", iforest.forest_score(forest, F.col("x")).alias("s")).orderBy("id").collect()]
+    assert np.allclose(got, want, rtol=1e-12)
+
+
 def test_forest_samples(spark):
     rows = spark.range(40_000).select("id", F.array(F.rand(1)).alias("x"))
     for trees in (5, 150):  # one draw per row, and several
