@@ -512,6 +512,12 @@ def q_rf_cv(spark, folder):
     return supervised.cross_validate(texts(spark, folder), TEXT_FEATURES, "label", "doc_id", "random_forest")
 
 
+@query("q_supervised")
+def q_supervised(spark, folder):
+    """Both supervised baselines on the same folds."""
+    return supervised.baselines(texts(spark, folder), TEXT_FEATURES, "label", "doc_id")
+
+
 @query("q_benchmark")
 def q_benchmark(spark, folder):
     df, names, schema = benchmarks.prepare_benchmark(flows(spark, folder).drop("ts", "user_id"), keep=("event_id",))

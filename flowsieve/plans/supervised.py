@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
+from flowsieve.operators.forest import fit_forests, forests_probability
 from flowsieve.operators.logistic import decision, fit_arms, probability, weights_literal
 from flowsieve.operators.metrics import fold_summary, method_metrics, roc_auc
 from flowsieve.plans.experiment import experiment_table
@@ -35,45 +34,41 @@ def logistic_scores(table: DataFrame, folds: int) -> DataFrame:
     return table.select("id", "truth", "fold", p.alias("probability"), (p > 0.5).cast("int").alias("predicted"))
 
 
-def forest_scores(table: DataFrame, folds: int, trees: int = 300, seed: int = 42, max_depth: int = 30, parallelism: int = 2) -> DataFrame:
-    """The same for a class-balanced random forest; folds train in ``parallelism`` driver threads."""
-    vectors = table.select("id", "truth", "fold", "x").withColumn("v", array_to_vector("x"))
-    sizes = {(r["fold"], r["truth"]): r["count"] for r in vectors.groupBy("fold", "truth").count().collect()}
-
-    def one(k):
-        n = [sum(c for (f, t), c in sizes.items() if f != k and t == cls) for cls in (0, 1)]
-        if not all(n):
+def forest_scores(table: DataFrame, folds: int, seed: int = 42, **options) -> DataFrame:
+    """The same for a class-balanced random forest; all folds grow together."""
+    sizes = {(r["fold"], r["truth"]): r["count"] for r in table.groupBy("fold", "truth").count().collect()}
+    for k in range(folds):
+        if not all(sum(c for (f, t), c in sizes.items() if f != k and t == cls) for cls in (0, 1)):
             raise ValueError("A training fold holds only one class.")
-        weight = F.when(F.col("truth") == 1, sum(n) / (2 * n[1])).otherwise(sum(n) / (2 * n[0]))
-        model = RandomForestClassifier(
-            featuresCol="v", labelCol="truth", weightCol="w", numTrees=trees, minInstancesPerNode=2, maxDepth=max_depth,
-            featureSubsetStrategy="sqrt", seed=seed,
-        ).fit(vectors.where(F.col("fold") != k).withColumn("w", weight))
-        scored = model.transform(vectors.where(F.col("fold") == k))
-        p = vector_to_array("probability")[1]
-        return scored.select("id", "truth", "fold", p.alias("probability"), (p > 0.5).cast("int").alias("predicted"))
+    width = len(table.select("x").first()[0])
+    forests, growth = fit_forests(table, sum(sizes.values()), folds, width, seed=seed, **options)
+    p = forests_probability(forests, growth, F.col("x"), F.col("fold"))
+    return table.select("id", "truth", "fold", p.alias("probability")).withColumn("predicted", (F.col("probability") > 0.5).cast("int"))
+
+
+def fold_metrics(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Precision, recall, F1, accuracy and AUC per fold (and ``by``)."""
+    keys = [*(by or []), "fold"]
+    counts = method_metrics(scores, "truth", {"any": "predicted"}, by=keys, digits=None).drop("method", "predicted_anomalies")
+    return counts.join(roc_auc(scores, "truth", "probability", by=keys), keys)
 
-    with ThreadPool(parallelism) as pool:
-        parts = pool.map(one, range(folds))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
 
+MODELS = {"logistic_regression": lambda table, folds, seed, **_: logistic_scores(table, folds), "random_forest": lambda table, folds, seed, **options: forest_scores(table, folds, seed, **options)}
 
-def fold_metrics(scores: DataFrame) -> DataFrame:
-    """Precision, recall, F1, accuracy and AUC per fold."""
-    counts = method_metrics(scores, "truth", {"model": "predicted"}, by=["fold"], digits=None).drop("method", "predicted_anomalies")
-    return counts.join(roc_auc(scores, "truth", "probability", by=["fold"]), "fold")
+
+def baselines(df: DataFrame, features: list[str], truth: str, id_col: str, models: tuple[str, ...] = tuple(MODELS), folds: int = 5, seed: int = 42, **options) -> DataFrame:
+    """One row per model: the fold mean and population deviation of each metric. All models learn from one experiment table, hence on the same folds;
+    ``options`` are the forest's."""
+    table = experiment_table(df, features, truth, id_col, folds, seed)
+    scored = [MODELS[m](table, folds, seed, **options).select(F.lit(m).alias("model"), "truth", "fold", "probability", "predicted") for m in models]
+    scores = durable(reduce(DataFrame.unionAll, scored), "scores")
+    return fold_summary(fold_metrics(scores, ["model"]), ["model"], METRICS)
 
 
 def cross_validate(df: DataFrame, features: list[str], truth: str, id_col: str, model: str = "logistic_regression", folds: int = 5,
                    seed: int = 42, **options) -> DataFrame:
-    """One row: the model's fold mean and population deviation of each metric."""
-    table = experiment_table(df, features, truth, id_col, folds, seed)
-    scores = logistic_scores(table, folds) if model == "logistic_regression" else forest_scores(table, folds, seed=seed, **options)
-    scores = durable(scores, "scores")
-    return fold_summary(fold_metrics(scores).withColumn("model", F.lit(model)), ["model"], METRICS)
+    """The same for one model."""
+    return baselines(df, features, truth, id_col, (model,), folds, seed, **options)
 
 
 def f1_gap(supervised: DataFrame, supervised_f1: str, unsupervised_f1: float, digits: int = 4) -> DataFrame:
