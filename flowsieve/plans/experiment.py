@@ -25,16 +25,17 @@ def experiment_table(df: DataFrame, features: list[str], truth: str, id_col: str
     leak: each model penalises its weights by its own training rows' deviation, which equals
     scaling inside the fold. ``keys[k]`` is the random order of the rows for fold k.
     """
-    labelled = df.where(col(truth).isNotNull())
-    clean = clean_rows(labelled, features, on_dirty)
-    rows, unlabelled = df.agg(F.count(F.lit(1)), F.count_if(col(truth).isNull())).first()
+    # The input may be a costly view: it is computed once, and all passes read what was written.
+    names = [f"f{i}" for i in range(len(features))]
+    df = durable(df.select(col(id_col).alias("id"), col(truth).alias("truth"), *[col(f).alias(n) for f, n in zip(features, names)]), "experiment-input")
+    clean = clean_rows(df.where(F.col("truth").isNotNull()), names, on_dirty)
+    rows, unlabelled = df.agg(F.count(F.lit(1)), F.count_if(F.col("truth").isNull())).first()
     if on_dirty == "error" and unlabelled:
         raise ValueError(f"{unlabelled} rows have no label.")
-    stats = fit_stats(clean, features)
+    stats = fit_stats(clean, names)
     if stats.rows < rows:
         warnings.warn(f"Left out {unlabelled} rows without a label and {rows - unlabelled - stats.rows} with a null, NaN or infinite feature.", stacklevel=3)
-    df = clean
-    base = df.select(col(id_col).alias("id"), F.array(*scaled(df, stats)).alias("x"), col(truth).cast("int").alias("truth"))
+    base = clean.select("id", F.array(*scaled(clean, stats)).alias("x"), F.col("truth").cast("int").alias("truth"))
     out = with_folds(base, "truth", "id", folds, seed)
     if keys:
         out = out.withColumn("keys", F.array(*[order_key(f"{seed}:{k}", F.col("id")) for k in range(folds)]))

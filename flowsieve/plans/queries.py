@@ -15,8 +15,9 @@ from flowsieve.functions.columns import col
 from flowsieve.functions.labels import feature_columns, normalize_label, not_benign
 from flowsieve.operators import ensemble, iforest, knn, lsh, metrics, sampling, stats, windows
 from flowsieve.plans import active_learning, label_budget, report, subsets, supervised
-from flowsieve.session import durable
+from flowsieve.session import durable, scratch_folder
 from flowsieve.sources import benchmarks, tables
+from flowsieve.streaming import windows as stream_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -464,6 +465,47 @@ def unusual_windows(spark, folder) -> DataFrame:
     return scored.where("z_score_flag = 1")
 
 
+# ---- streaming -----------------------------------------------------------------------------------------------------
+
+ARRIVALS, LATE_MS = 3, 3_600_000
+STREAM_STATS = ("value_mean", "value_sum", "value_count", "k_mean", "k_sum", "k_count")
+
+
+@query("q_stream_windows", f"""WITH {FLOWS}, span AS (SELECT epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1 FROM flows),
+timed AS (SELECT user_id, value, k, epoch_us(ts) AS us, (epoch_us(ts) // 1800000000) * 1800000000 AS window_us,
+  least({ARRIVALS - 1}, {ARRIVALS} * (epoch_us(ts) - t0) // (t1 - t0) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS arrival FROM flows, span),
+tops AS (SELECT arrival, max(us) AS top FROM timed GROUP BY arrival),
+marks AS (SELECT a.arrival, (SELECT max(top) // 1000 - {LATE_MS} FROM tops b WHERE b.arrival < a.arrival) AS mark FROM tops a),
+judged AS (SELECT timed.*, coalesce((window_us + 1800000000) // 1000 <= mark, false) AS late FROM timed JOIN marks USING (arrival)),
+dropped AS (SELECT count(*) AS late_groups FROM (SELECT DISTINCT arrival, user_id, window_us FROM judged WHERE late)),
+w AS (SELECT user_id, window_us, avg(value) AS value_mean, sum(value) AS value_sum, count(value) AS value_count, avg(k) AS k_mean, sum(k) AS k_sum, count(k) AS k_count
+  FROM judged WHERE NOT late GROUP BY 1, 2),
+base AS (SELECT user_id, window_us, avg(value) AS value_mean, sum(value) AS value_sum, count(value) AS value_count, avg(k) AS k_mean, sum(k) AS k_sum, count(k) AS k_count
+  FROM judged WHERE arrival = 0 GROUP BY 1, 2),
+s AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in STREAM_STATS) + """ FROM base)
+SELECT user_id, window_us, round(value_sum, 4) AS value_sum, value_count, round(greatest(""" + ", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE abs({c} - m_{c}) / s_{c} END" for c in STREAM_STATS) + f"""), 4) AS z_score_max, late_groups
+FROM w, s, dropped WHERE (window_us + 1800000000) // 1000 <= (SELECT max(top) // 1000 - {LATE_MS} FROM tops)""")
+def q_stream_windows(spark, folder):
+    """Events arrive in three loads, a tenth of them a load too late. A stream reads each load, going on from the state the last one left, and scores closed windows against saved statistics."""
+    seen = flows(spark, folder).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    t0, t1 = seen.agg(F.min("us"), F.max("us")).first()
+    t0, t1 = t0 or 0, t1 or 0
+    load = F.expr(f"({ARRIVALS} * (us - {t0})) div {max(1, t1 - t0)}") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    loads = durable(seen.withColumn("arrival", F.least(F.lit(ARRIVALS - 1), load)).select("user_id", "ts", "value", "k", "arrival"), "stream-loads")
+    rows = loads.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", "k", "arrival")
+    first = windows.window_frame(rows.where("arrival = 0"), "user_id", 30, "ts", ["value", "k"])
+    saved = durable(stats.fit_stats(first, list(STREAM_STATS)).table(spark), "stream-stats")
+    inbox, target, state = (scratch_folder(spark, f"stream-{name}") for name in ("inbox", "windows", "state"))
+    runs = []
+    for k in range(ARRIVALS):
+        rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.drop("arrival").schema).parquet(inbox)
+        runs.append(stream_windows.run_available(stream, "user_id", 30, ["value", "k"], stats.ColumnStats.from_table(saved), target, state, "ts"))
+    closed = spark.read.schema(runs[-1].schema).parquet(target)
+    return closed.select("user_id", F.unix_micros("timestamp").alias("window_us"), F.round("value_sum", 4).alias("value_sum"), "value_count", "z_score_max",
+                         F.lit(sum(r.late_groups for r in runs)).cast("bigint").alias("late_groups"))
+
+
 # ---- samples and folds ---------------------------------------------------------------------------------------------
 
 @query("q_balanced_sample", f"""WITH {FLOWS} SELECT event_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || event_id)) <= 150""")

@@ -77,6 +77,26 @@ def drop_durable() -> None:
         filesystem.delete(path, True)
 
 
+def _new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/flowsieve-{tag}-{uuid.uuid4().hex}"
+
+
+def _remember(spark: SparkSession, path: str, make: bool = False) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if make:
+        filesystem.mkdirs(target)
+    filesystem.deleteOnExit(target)
+    _written.append((filesystem, target))
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new empty folder in the shared one. It goes away when the driver ends, or by ``drop_durable``."""
+    path = _new_path(spark, tag)
+    _remember(spark, path, make=True)
+    return path
+
+
 def durable(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later passes neither recompute it
     nor depend on the executors that made it. The files go away when the driver ends, or by
@@ -88,10 +108,7 @@ def durable(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None and rows <= SMALL_ROWS:
         df = df.repartition(max(1, min(spark.sparkContext.defaultParallelism, rows // 250)))
-    path = f"{shared_folder(spark)}/flowsieve-{tag}-{uuid.uuid4().hex}"
+    path = _new_path(spark, tag)
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    filesystem.deleteOnExit(target)
-    _written.append((filesystem, target))
+    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
