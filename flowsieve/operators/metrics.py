@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
 from flowsieve.functions.hashing import seeded_md5
+from flowsieve.operators.prefix import totals_before
 from flowsieve.session import durable
 
 # Flag column of each method, in the order that settles a tie for the best one.
@@ -18,7 +18,7 @@ METHODS = {
     "one_class_svm": "one_class_svm_flag",
     "ensemble": "is_anomaly",
 }
-RANGE_ROWS, MAX_RANGES = 20_000, 4096
+RANGE_ROWS = 20_000
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -102,7 +102,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None)
     """Area under the ROC curve, ties counted half; null when a class is missing.
 
     Rows are first counted per distinct score, so equal scores cost one row. Distinct scores are cut
-    into ranges of some RANGE_ROWS (at most MAX_RANGES ranges); whole ranges below add their totals, and only
+    into ranges of some RANGE_ROWS, as many as that takes; whole ranges below add their totals, and only
     inside a range is anything sorted.
     """
     by = by or []
@@ -115,19 +115,10 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None)
         .agg(F.count_if(F.col("_t") == 1).alias("pos"), F.count_if(F.col("_t") == 0).alias("neg"))
     )
     per_score = durable(per_score, "roc")
-    ranges = min(MAX_RANGES, max(8, per_score.count() // RANGE_ROWS))
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(per_score.agg(F.percentile_approx("_s", steps, 10_000)).first()[0] or []))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) > 2:
-        ranged = Bucketizer(splits=splits, inputCol="_s", outputCol="_range").transform(per_score)
-    else:
-        ranged = per_score.withColumn("_range", F.lit(0.0))
-    order = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        ranged.groupBy(*names, "_range").agg(F.sum("neg").alias("n"))
-        .select(*names, "_range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("neg_under_range"))
-    )
+    ranges = max(8, per_score.count() // RANGE_ROWS)
+    ranged = durable(per_score.repartitionByRange(ranges, "_s").withColumn("_range", F.spark_partition_id()), "roc-ranges")
+    totals = ranged.groupBy(*names, "_range").agg(F.sum("neg").alias("n"))
+    totals = totals_before(totals, names, "_range", "n", ranges, "neg_under_range").select(*names, "_range", "neg_under_range")
     inner = Window.partitionBy(*names, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("neg_in_range", F.coalesce(F.sum("neg").over(inner), F.lit(0))).join(totals, [*names, "_range"])
     wins = F.col("pos").cast("double") * (F.col("neg_under_range") + F.col("neg_in_range") + F.col("neg") / 2)

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
 from flowsieve.functions.hashing import HASH_BITS, order_key
+from flowsieve.operators.prefix import totals_before
 
 STEP_BITS = 12
 FETCH_ROWS = 50_000
-MAX_FOLD_BUCKETS = 1 << 14
+FOLD_ROWS = 20_000
 
 
 def hash_cuts(df: DataFrame, group: str, key: str, wanted: dict[object, Iterable[int]]) -> dict[tuple[object, int], int]:
@@ -103,22 +104,18 @@ def balanced_sample(df: DataFrame, label: str, id_col: str, rows_per_class: int,
 def with_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """Stratified folds 0..k-1: position in the class by seeded hash, modulo k.
 
-    Positions come from counts per hash range (at most MAX_FOLD_BUCKETS per class) plus a rank inside the range,
-    so no class is ever sorted as a whole.
+    Positions come from counts per hash range, some FOLD_ROWS rows each, and a rank inside the range, so no class is ever sorted as a whole.
     """
     keyed = df.withColumn("_key", order_key(seed, col(id_col)))
     rows = df.count()
-    bits = max(5, min(MAX_FOLD_BUCKETS, rows // 20_000).bit_length())
+    bits = max(5, (rows // FOLD_ROWS).bit_length())
     keyed = keyed.withColumn("_range", F.shiftright("_key", HASH_BITS - bits))
-    before = Window.partitionBy(col(label)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy(col(label), "_range").count()
-        .select(col(label).alias("_label"), F.col("_range").alias("_at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    )
+    counted = keyed.groupBy(col(label).alias("_label"), F.col("_range").alias("_at")).count()
+    starts = totals_before(counted, ["_label"], "_at", "count", 1 << bits, "_start").drop("count")
     inside = Window.partitionBy(col(label), F.col("_range")).orderBy("_key", col(id_col))
     # Null-safe, so that rows without a label keep their place as a class of their own.
     same = col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_at"))
-    placed = keyed.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(starts), same)
+    placed = keyed.withColumn("_rank", F.row_number().over(inside)).join(starts, same)
     fold = F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(k)).cast("int")
     return placed.select(*[col(c) for c in df.columns], fold.alias(name))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import col
@@ -542,6 +542,28 @@ def q_prepare_subset(spark, folder):
     return subsets.prepare_unsw([train, test], "id", 400)
 
 
+@query("q_prepare_cic", f"""WITH {FLOWS4}, wide AS (SELECT id AS "Flow ID", l_quantity AS "Flow Duration", l_extendedprice / l_tax AS "Flow Bytes/s",
+CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS "Label" FROM flows4 WHERE l_tax <> 0), picked AS (
+SELECT *, row_number() OVER (PARTITION BY "Label" ORDER BY md5('42:' || "Flow ID")) AS place FROM wide)
+SELECT "Flow ID", "Flow Duration", "Flow Bytes/s", "Label", place, (SELECT count(*) FROM picked WHERE place <= 700 AND "Label" = 1) AS attacks
+FROM picked WHERE place <= 700""")
+def q_prepare_cic(spark, folder):
+    """Two files of flows, prepared into a written subset and read back: rows, their place in the written order, and the rows of the attack folder alone."""
+    whole = cic_style(spark, folder).drop("Label2")
+    halves = F.pmod(F.xxhash64("Flow ID"), F.lit(2))
+    paths = []
+    for k in (0, 1):
+        paths.append(f"{scratch_folder(spark, 'cic')}/part{k}.parquet")
+        whole.where(halves == k).write.parquet(paths[k])
+    target = scratch_folder(spark, "cic-subset")
+    subset = subsets.prepare_files(spark, "cic", paths, target, "Flow ID", 700, rows_per_file=300)
+    # The place of a row by file and position, as a reader of the folder meets it.
+    placed = subset.withColumn("at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    order = Window.partitionBy("Label").orderBy("at")
+    attacks = subset.where("Label = 1").count()
+    return placed.withColumn("place", F.row_number().over(order).cast("bigint")).drop("at").withColumn("attacks", F.lit(attacks).cast("bigint"))
+
+
 # ---- experiments ---------------------------------------------------------------------------------------------------
 
 @query("q_lr_cv")
