@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import col
 from flowsieve.operators.stats import BASELINE
 
+# The flags that vote.
 VOTE_FLAGS = ["z_score_flag", "isolation_forest_flag", "lof_flag", "one_class_svm_flag"]
 MODEL_REASONS = {
     "isolation_forest_flag": "Isolation Forest: rare combination of feature values",

@@ -10,7 +10,7 @@ from flowsieve.functions.hashing import seeded_md5
 from flowsieve.operators.prefix import totals_before
 from flowsieve.session import durable
 
-# Flag column of each method, in the order that settles a tie for the best one.
+# The flag column of each method, in the order that settles a tie for the best one.
 METHODS = {
     "z_score": "z_score_flag",
     "isolation_forest": "isolation_forest_flag",
@@ -152,7 +152,7 @@ def run_summary(df: DataFrame, features: list[str], threshold: float, contaminat
     """One row about a report; ``dropped`` tells how many input rows it leaves out. The flagged ids are the table from ``flagged``, not a list in here."""
     base = df.agg(F.count(F.lit(1)).alias("rows_processed"), F.coalesce(F.sum(col("is_anomaly")), F.lit(0)).alias("anomalies_detected"))
     base = base.withColumns({
-        "numeric_features": F.lit(",".join(features)),
+        "numeric_features": F.array(*map(F.lit, features)),
         "z_score_threshold": F.lit(threshold),
         "model_contamination": F.lit(contamination),
         "metrics_available": F.lit(truth is not None),

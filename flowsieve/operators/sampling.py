@@ -88,8 +88,15 @@ def up_to_cut(group: Column, key: Column, cuts: dict[object, int]) -> Column:
     return test
 
 
+MAX_CLASSES = 1000
+
+
 def class_sizes(df: DataFrame, label: str) -> dict[object, int]:
-    return {r[0]: r[1] for r in df.where(col(label).isNotNull()).groupBy(col(label)).count().collect()}
+    """Rows per class. More than MAX_CLASSES distinct values are no label column, and an error."""
+    found = df.where(col(label).isNotNull()).groupBy(col(label)).count().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"'{label}' has more than {MAX_CLASSES} distinct values; name a column of classes.")
+    return {r[0]: r[1] for r in found}
 
 
 def balanced_sample(df: DataFrame, label: str, id_col: str, rows_per_class: int, seed: int = 42) -> DataFrame:

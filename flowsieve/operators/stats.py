@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import WIDE, col, finite
 
+# Fixed value: the text for a row that is not unusual.
 BASELINE = "baseline behavior"
 
 

@@ -6,6 +6,8 @@ What an arm has labelled so far is at most ``budget`` rows, so it lives on the d
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,7 +35,8 @@ def _fit_small(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         else:
             beta, objective, step = trial, value, following
         if np.abs(step).max() <= 1e-8 * (1.0 + np.abs(beta).max()):
-            break
+            return beta
+    warnings.warn("A logistic fit on labelled rows had not converged after 100 steps.", stacklevel=2)
     return beta
 
 

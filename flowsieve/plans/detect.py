@@ -11,6 +11,7 @@ from flowsieve.functions.columns import col
 from flowsieve.functions.labels import feature_columns
 from flowsieve.operators import metrics
 from flowsieve.operators.windows import window_frame
+from flowsieve.operators.sampling import class_sizes
 from flowsieve.plans.report import build_report
 from flowsieve.session import durable
 from flowsieve.sources.tables import number_rows, write_json, write_report
@@ -82,5 +83,5 @@ def detect(df: DataFrame, id_col: str | None = None, label: str | None = None, t
 
 def class_overview(df: DataFrame, label: str, features: list[str], id_col: str, head: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First rows, rows per class, and feature means per class."""
-    classes = sorted(r[0] for r in df.select(col(label)).distinct().collect())
+    classes = sorted(class_sizes(df, label))
     return df.orderBy(col(id_col)).limit(head), metrics.class_counts(df, label), metrics.class_profile(df, label, features, classes)

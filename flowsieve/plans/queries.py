@@ -269,7 +269,8 @@ def q_method_counts(spark, folder):
 CAST(0.12 AS DOUBLE) AS model_contamination, true AS metrics_available,
 (SELECT method FROM scored ORDER BY f1_score DESC, place LIMIT 1) AS best_method_by_f1""")
 def q_summary(spark, folder):
-    return metrics.run_summary(flag_table(spark, folder), ["value", "k"], 2.5, 0.12, "ground_truth")
+    found = metrics.run_summary(flag_table(spark, folder), ["value", "k"], 2.5, 0.12, "ground_truth")
+    return found.withColumn("numeric_features", F.array_join("numeric_features", ","))
 
 
 @query("q_roc_auc", f"""WITH {FLOWS}, ranked AS (SELECT label, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM flows)
@@ -443,9 +444,27 @@ def q_reason(spark, folder):
     return ensemble.with_reason(flag_table(spark, folder)).select("event_id", "anomaly_reason", F.array_join("reason_codes", ",").alias("reason_codes"))
 
 
-@query("q_report")
+FLAGGED = "CAST(n - 1 - floor((n - 1) * 0.88) AS BIGINT)"
+
+
+@query("q_report", f"""WITH {FLOWS}, s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk, count(*) AS n FROM flows),
+scaled2 AS (SELECT event_id AS id, (value - mv) / sv AS value, (k - mk) / sk AS k FROM flows, s),
+{iforest.forest_sql('scaled2', ['value', 'k'])},
+nine AS (SELECT id, round(score, 9) AS score FROM forest_scores), cut AS (SELECT quantile_cont(score, 0.88) AS c FROM nine)
+SELECT event_id, flows.value, CAST(abs((flows.value - mv) / sv) >= 2.5 OR abs((flows.k - mk) / sk) >= 2.5 AS INTEGER) AS z_score_flag, round(score, 4) AS isolation_forest_score,
+CAST(score > c AS INTEGER) AS isolation_forest_flag, CASE WHEN label = 'attack' THEN 1 ELSE 0 END AS ground_truth, true AS votes_agree, true AS reasons_agree,
+{FLAGGED} AS lof_flagged, {FLAGGED} AS one_class_svm_flagged FROM flows JOIN nine ON id = event_id, s, cut""")
 def q_report(spark, folder):
-    return report.build_report(flows(spark, folder), ["value", "k"], "event_id", "label")
+    """The whole report; of what SQL cannot say (two detectors, the texts) there remain the numbers of flags and whether votes and reasons follow from them."""
+    done = durable(report.build_report(flows(spark, folder), ["value", "k"], "event_id", "label"), "report")
+    flags = [f for f in metrics.METHODS.values() if f != "is_anomaly"]
+    votes = sum((F.col(f) for f in flags), F.lit(0))
+    agree = (F.col("ensemble_votes") == votes) & (F.col("is_anomaly") == (votes >= 2).cast("int"))
+    named = (F.col("anomaly_reason") != stats.BASELINE) == (F.col("is_anomaly") == 1)
+    codes = F.when(F.col("is_anomaly") == 1, F.size("reason_codes") == votes).otherwise(F.size("reason_codes") == 0)
+    totals = done.agg(F.sum("lof_flag").cast("bigint").alias("lof_flagged"), F.sum("one_class_svm_flag").cast("bigint").alias("one_class_svm_flagged"))
+    kept = done.select("event_id", "value", "z_score_flag", "isolation_forest_score", "isolation_forest_flag", "ground_truth", agree.alias("votes_agree"), (named & codes).alias("reasons_agree"))
+    return kept.join(F.broadcast(totals))  # one row
 
 
 @query("q_unusual_windows", f"""WITH {FLOWS}, w AS (SELECT user_id, (epoch_us(ts) // 1800000000) * 1800000000 AS window_us, avg(value) AS value_mean,
@@ -585,7 +604,8 @@ def q_supervised(spark, folder):
 @query("q_benchmark")
 def q_benchmark(spark, folder):
     df, names, schema = benchmarks.prepare_benchmark(flows(spark, folder).drop("ts", "user_id"), keep=("event_id",))
-    return supervised.compare_benchmark(df, names, "ground_truth", "event_id", schema)
+    found = supervised.compare_benchmark(df, names, "ground_truth", "event_id", schema)
+    return found.withColumn("numeric_features", F.array_join("numeric_features", ","))
 
 
 @query("q_self_training")

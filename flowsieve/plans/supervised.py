@@ -87,7 +87,7 @@ def compare_benchmark(df: DataFrame, features: list[str], truth: str, id_col: st
         F.lit(schema).alias("schema"),
         F.lit(totals[0]).alias("rows"),
         F.lit(totals[1]).alias("attacks"),
-        F.lit(",".join(features)).alias("numeric_features"),
+        F.array(*map(F.lit, features)).alias("numeric_features"),
         F.lit("in_sample").alias("unsupervised_scope"),
         *[F.lit(vote[m]).alias(f"unsupervised_{m}") for m in ("precision", "recall", "f1_score")],
         F.lit("out_of_fold").alias("supervised_scope"),

@@ -35,10 +35,10 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
             df = reader.option("header", True).option("positiveInf", "inf").option("negativeInf", "-inf").option("nanValue", "nan").csv(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in (error.getCondition() or ""):
-            raise FileNotFoundError(f"Input not found: {path}") from error
+            raise FileNotFoundError(f"No table lies at {path}.") from error
         raise
     if df.isEmpty():
-        raise ValueError(f"The input is empty: {path}")
+        raise ValueError(f"The table at {path} holds no rows.")
     return df
 
 

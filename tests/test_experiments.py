@@ -60,7 +60,7 @@ def test_cross_validation_learns_blobs(frame, model):
 def test_benchmark_comparison(frame):
     x, y = separable(60, 3, 5, 1)
     r = supervised.compare_benchmark(frame(x, y), names(x), "truth", "id", "generic", folds=3).first()
-    assert (r["rows"], r["attacks"], r["numeric_features"]) == (120, 60, "f0,f1,f2")
+    assert (r["rows"], r["attacks"], r["numeric_features"]) == (120, 60, ["f0", "f1", "f2"])
     assert r["gap_f1"] == pytest.approx(r["supervised_f1_score_mean"] - r["unsupervised_f1_score"], abs=1e-9)
 
 
