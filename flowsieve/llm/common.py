@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +81,22 @@ def shingles(words: list[bytes], width: int, memo: Memo, distinct: bool = True)
     for j in range(min(width, len(h))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
     return np.unique(out) if distinct else out
+
+
+def tidy(run: Callable, *empty: Callable[[], object]) -> Callable:
+    """``run`` for ``mapInArrow``; when a task is through, ``empty`` is called and freed memory goes back to the system. Python workers outlive tasks and stages: what one leaves, the next one carries."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for call in empty:
+                call()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return wrapped

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import Memo, mix, shingles, slices, table, texts
+from flowsieve.llm.common import Memo, mix, shingles, slices, table, texts, tidy
 from flowsieve.session import durable
 
 GROUPS = 64
@@ -42,7 +42,7 @@ CLASS_RATIO = 1.5
 DELEGATES = 8
 BROADCAST_IDS = 1_000_000
 HARD_BLOCK = 2000
-FLUSH = 1_000_000
+FLUSH = 500_000
 CONST = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +127,10 @@ MULTIPLIER = np.uint64(0xD1B54A32D192ED03)
 _memo = Memo()
 
 
+def forget() -> None:
+    _memo.clear()
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return shingles((text or "").encode("utf-8", "replace").lower().split(), width, _memo)
 
@@ -449,8 +453,8 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, node, grp: rows with one ``grp`` are connected; null for empty sets."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = durable(docs.mapInArrow(_signatures(rule), f"doc_id {kind}, n_shingles long, node long"), "signed")
-    keys = docs.select("text").mapInArrow(_keys(rule), "key long, node long, other long")
+    signed = durable(docs.mapInArrow(tidy(_signatures(rule), forget), f"doc_id {kind}, n_shingles long, node long"), "signed")
+    keys = docs.select("text").mapInArrow(tidy(_keys(rule), forget), "key long, node long, other long")
     pivot = F.min(F.when(F.col("other").isNull(), F.col("node"))).over(Window.partitionBy("key"))
     stars = keys.select("node", F.coalesce("other", pivot).alias("b"), F.col("other").isNotNull().alias("sent")).where("node <> b OR sent").select(F.col("node").alias("a"), "b").distinct()
     stars = durable(stars, "stars")
@@ -461,7 +465,7 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     # A row without id is found by a null-safe join; few ids go to every task, more are met in a shuffle.
     few = chosen.count() <= BROADCAST_IDS
     near = docs.join(F.broadcast(chosen) if few else chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("text", "node", "cluster")
-    points = near.mapInArrow(_sets(rule), "cluster long, node long, size long, set binary")
+    points = near.mapInArrow(tidy(_sets(rule), forget), "cluster long, node long, size long, set binary")
     if signed.groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").isEmpty() is False:
         points = points.dropDuplicates(["node"])
     links, roots = verified_links(points, rule)
@@ -478,12 +482,45 @@ def join(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     return rows.join(least, "grp", "left").select("doc_id", "n_shingles", F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _with_node(rule: Rule):
+    """Appends the number of the first column's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            nodes = [node_of(shingle_set(t, rule.width)) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.int64())], [*batch.schema.names[1:], "node"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; all rows with empty sets. Of rows with equal ids, all whose id is the smallest stay once."""
+    """One row of each component: that with the smallest id, a row without id only if there is no other; and all rows with empty sets.
+
+    Rows that share an id, or have none, are told apart by their sets, and exact repeats of a row by a count: one of them stays.
+    """
+    rule = rule or Rule()
     names = docs.columns
-    first = join(docs, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = durable(grouped(docs, rule), "grouped")
+    best = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("b")).select("b.doc_id", "b.node")
+    best = durable(best, "best")
+    unclear = durable(rows.groupBy(F.col("doc_id").alias("unclear_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR unclear_id IS NULL").select("unclear_id"), "unclear")
+    many = unclear.count()
     inner = docs.toDF(*["doc_id" if c == "doc_id" else f"c{k}" for k, c in enumerate(names)])
-    return inner.join(first, inner["doc_id"].eqNullSafe(first["kept_id"]), "left_semi").toDF(*names)
+    first = best.select(F.col("doc_id").alias("kept_id")).unionAll(rows.where("grp IS NULL").select("doc_id"))
+    if not many:
+        return inner.join(first, inner["doc_id"] == first["kept_id"], "left_semi").toDF(*names)
+    few = F.broadcast(unclear) if many <= BROADCAST_IDS else unclear
+    same = inner["doc_id"].eqNullSafe(few["unclear_id"])
+    plain = inner.join(few, same, "left_anti").join(first, inner["doc_id"] == first["kept_id"], "left_semi")
+    doubtful = inner.join(few, same, "left_semi")
+    text = doubtful[doubtful.columns[names.index("text")]]
+    noded = doubtful.select(text.alias("text"), *[doubtful[c].alias(f"d{k}") for k, c in enumerate(doubtful.columns)])
+    noded = noded.mapInArrow(tidy(_with_node(rule), forget), ", ".join(f"d{k} {f.dataType.simpleString()}" for k, f in enumerate(doubtful.schema.fields)) + ", node long")
+    at = f"d{names.index('doc_id')}"
+    chosen = noded.join(best.withColumnRenamed("doc_id", "kept_id").withColumnRenamed("node", "kept_node"), noded[at].eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")), "left_semi")
+    once = chosen.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64(*[c for c in chosen.columns if c != "node"])))).where("place = 1").drop("place")
+    again = once.unionByName(noded.where("node IS NULL")).drop("node")
+    return plain.toDF(*names).unionAll(again.toDF(*names))
 
 
 NEAR_COPIES = Rule(80, 100, 5)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import fold, slices, table, texts
+from flowsieve.llm.common import fold, slices, table, texts, tidy
 
 DIMS = 512
 SEED = 20
@@ -96,6 +96,10 @@ def encoder() -> Encoder:
     return _encoder[0]
 
 
+def forget() -> None:
+    _encoder.clear()
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc, sums = encoder(), {}
     for batch in slices(batches, "text"):
@@ -111,7 +115,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their centred unit prototypes; the last row is the common mean."""
-    sums = labelled.where("lang IS NOT NULL").select("text", "lang").mapInArrow(_sums, "lang string, dim long, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+    sums = labelled.where("lang IS NOT NULL").select("text", "lang").mapInArrow(tidy(_sums, forget), "lang string, dim long, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     rows = sums.limit(MAX_LANGUAGES * (DIMS + 1) + 1).toPandas()
     if len(rows) > MAX_LANGUAGES * (DIMS + 1):
         raise ValueError(f"More than {MAX_LANGUAGES} languages.")
@@ -151,7 +155,7 @@ def _predicted(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """The columns of ``docs`` after the first, which is the text, and the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(prototypes(labelled))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
-    return docs.mapInArrow(_predictor(shared), f"{columns}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(_predictor(shared), forget), f"{columns}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -29,3 +29,22 @@ def test_few_sets_are_hard_at_the_general_rule():
             (ka, ha), (kb, hb) = J.keys_of(np.sort(a), GENERAL), J.keys_of(np.sort(b), GENERAL)
             assert not ha and not hb
             assert not GENERAL.linked(len(np.intersect1d(a, b)), len(a), len(b)) or len(np.intersect1d(ka, kb))
+
+
+def test_repeats_null_ids_and_shared_ids_are_decided_row_by_row(spark):
+    long = [f"word{k}" for k in range(60)]
+    near = " ".join([*long[:-1], "other"])
+    a, b, c = " ".join(long), " ".join(long[::-1]), " ".join(f"z{k}" for k in range(40))
+    rows = [(1, a), (1, a), (2, near), (None, near), (None, c), (None, c), (3, b), (3, c), (3, c), (4, ""), (4, ""), (None, None), (5, b)]
+    # Columns named like the operator's own.
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string, kept_id int")
+    out = J.stage(spark, df, FOLDER)
+    assert out.columns == df.columns
+    got = sorted((repr(r.doc_id), r.text) for r in out.collect())
+    assert got == sorted((repr(i), t) for i, t in [(1, a), (3, b), (3, c), (4, ""), (4, ""), (None, None)])
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k % 7919}x{k % 31}" for k in range(150_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "something else entirely here")], "doc_id long, text string")
+    assert kept(spark, df) == [1, 3]
