@@ -67,7 +67,8 @@ def centred(rows: DataFrame, n: int, total: list[int]) -> DataFrame:
 
 def block_matrix(rows: DataFrame, n: int, d: int) -> BlockMatrix:
     vectors = MLUtils.convertVectorColumnsFromML(rows.select("row", array_to_vector("y").alias("y")), "y")
-    return IndexedRowMatrix(vectors, n, d).toBlockMatrix(ROWS, COLS)
+    # Scatter and projection both read the blocks; lost ones are made again.
+    return IndexedRowMatrix(vectors, n, d).toBlockMatrix(ROWS, COLS).cache()
 
 
 def local_blocks(spark: SparkSession, m: np.ndarray) -> BlockMatrix:
