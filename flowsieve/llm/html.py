@@ -2,11 +2,13 @@
 
 Markup is stripped into lines: every block element starts and ends one. A line weighs as many characters as it has outside links; lines in
 menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing. Weights are summed over windows of BLOCK lines.
-Text begins where the sum surges to SURGE and ends where it dives to zero; the lines between are kept. Where a page marks its ``article`` or ``main``, a line
-inside weighs at least SURGE and one outside nothing, so that short paragraphs stay.
+A run of text begins where the sum surges to SURGE and ends where it dives to zero. The text goes from the first surge to the last dive, and every line between that
+is in no such part is kept, weightless lines (link lists of the article) included. A dive inside the element that holds the run's long lines does not end the text: later lines
+with characters outside links in that element still count, and so do earlier ones unless the element is the whole body. Where a page marks its ``article`` or ``main``, that is
+the surge and the dive: a line inside weighs at least SURGE and one outside nothing.
 
 References are decoded, white space in a line (Unicode's, no-break space too) becomes one space, lines are joined by a line feed; ``br`` is white space. Headings
-of an article's own header stay. Broken markup: an unclosed element ends with its parent, an unfinished tag or comment at the end of
+of an article's own header stay. Broken markup: an unclosed element ends with its parent, ``li``, ``dt``, ``dd``, ``tr``, ``td``, ``th`` and ``option`` also where the next of their kind begins, an unfinished tag or comment at the end of
 the page is dropped, a ``<`` that starts no tag is text. Null or empty html gives an empty text. Repeated rows are extracted each on its
 own; an empty table gives no rows. Further columns are left out.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,29 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""")
 HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that end where another of their kind begins: which ones they end, and the elements that shield an outer one.
+LISTS, CELLS, TABLE = ("ul", "ol", "menu", "dir", "dl", "table"), ("td", "th"), ("table",)
+IMPLIED = {
+    "li": (("li",), LISTS), "dt": (("dt", "dd"), LISTS), "dd": (("dt", "dd"), LISTS), "option": (("option",), ("select",)),
+    "td": (CELLS, TABLE), "th": (CELLS, TABLE), "tr": (("tr",), TABLE), **{name: (("tbody", "thead", "tfoot"), TABLE) for name in ("tbody", "thead", "tfoot")},
+}
+ROOTS = frozenset(("html", "body"))
+
+
+class Line(NamedTuple):
+    text: str
+    plain: int  # characters outside links
+    masked: bool  # outside the article by markup
+    inside: bool  # in an article or main element
+    node: int  # number of its block element
+
+
+class Element(NamedTuple):
+    name: str
+    masked: bool
+    inside: bool
+    linked: bool
+    node: int
 
 
 def outside(name: str, attributes: str, in_article: bool) -> bool:
@@ -53,13 +79,16 @@ def outside(name: str, attributes: str, in_article: bool) -> bool:
     return bool(HIDDEN.search(re.sub(r'"[^"]*"', '""', attributes) if "style" not in attributes.lower() and "aria" not in attributes.lower() else attributes))
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters outside links, whether it is outside the article by markup, whether it is in an article or main element."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(html: str) -> tuple[list[Line], list[tuple[int, bool]]]:
+    """The lines of a page, and per block element the number of its parent (itself for the page) and whether it is the body or above it."""
+    out: list[Line] = []
+    blocks: list[tuple[int, bool]] = [(0, True)]
     text: list[str] = []
     plain = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, masked, in article, in a link
-    masked = inside = linked = False
+    bottom = Element("", False, False, False, 0)
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
+    here = bottom
     pos, size = 0, len(html)
     ended: dict[str, int] = {}
 
@@ -75,7 +104,8 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     def flush() -> None:
         nonlocal text, plain
         joined = " ".join("".join(text).split())
-        out.append((joined, min(plain, len(joined)), masked, inside))
+        if joined or here.masked:
+            out.append(Line(joined, min(plain, len(joined)), here.masked, here.inside, here.node))
         text, plain = [], 0
 
     def put(raw: str) -> None:
@@ -83,12 +113,18 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if raw:
             raw = unescape(raw)
             text.append(raw)
-            if not linked:
+            if not here.linked:
                 plain += len(raw.strip())
 
-    def restore() -> None:
-        nonlocal masked, inside, linked
-        _, masked, inside, linked = stack[-1] if stack else ("", False, False, False)
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def close(depth: int) -> None:
+        """Ends the elements from this place of the stack on."""
+        nonlocal here
+        while len(stack) > depth:
+            places[stack.pop().name].pop()
+        here = stack[-1] if stack else bottom
 
     while pos < size:
         at = find("<", pos)
@@ -129,43 +165,61 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if block:
             flush()
         if closing:
-            if any(x[0] == name for x in stack[-64:]):
-                while stack.pop()[0] != name:
-                    pass
-                restore()
+            if places.get(name):
+                close(places[name][-1])
         elif name not in VOID and not attributes.endswith("/") and (block or name == "a" or "class" in attributes or "id=" in attributes):
-            while block and stack and (stack[-1][0] in ("p", "a") or stack[-1][0] in HEADINGS or name == "li" and stack[-1][0] == "li"):
-                stack.pop()
-            restore()
+            if name in IMPLIED:
+                ends, shields = IMPLIED[name]
+                if last(ends) > last(shields):
+                    close(last(ends))
+            while block and stack and (here.name in ("p", "a") or here.name in HEADINGS):
+                close(len(stack) - 1)
             article = name in ("article", "main")
-            masked = outside(name, attributes, inside) or (masked and not article)
-            inside = inside or article and not masked
-            if stack and stack[-1][0] == "header" and inside and block and name not in HEADINGS:
+            masked = outside(name, attributes, here.inside) or (here.masked and not article)
+            inside = here.inside or article and not masked
+            if here.name == "header" and inside and block and name not in HEADINGS:
                 masked = True
-            linked = linked or name == "a"
-            stack.append((name, masked, inside, linked))
+            if block:
+                blocks.append((here.node, name in ROOTS))
+            here = Element(name, masked, inside, here.linked or name == "a", len(blocks) - 1 if block else here.node)
+            places.setdefault(name, []).append(len(stack))
+            stack.append(here)
     flush()
-    return [x for x in out if x[0] or x[2]]
+    return out, blocks
+
+
+def below(blocks: list[tuple[int, bool]], tops: set[int]) -> np.ndarray:
+    """Which elements are one of ``tops`` or inside one. Parents come before their children."""
+    found = np.zeros(len(blocks), bool)
+    for node, (parent, _) in enumerate(blocks):
+        found[node] = node in tops or found[parent]
+    return found
 
 
 def main_text(html: str | None) -> str:
-    found = lines(html or "")
+    found, blocks = lines(html or "")
     if not found:
         return ""
-    marked = any(inside and text and not masked for text, _, masked, inside in found)
-    weight = np.array([0 if masked or not text else (max(plain, SURGE) if inside else 0) if marked else plain for text, plain, masked, inside in found])
+    marked = any(x.inside and x.text and not x.masked for x in found)
+    weight = np.array([0 if x.masked or marked and not x.inside else max(x.plain, SURGE) if marked else x.plain for x in found])
     sums = np.convolve(weight, np.ones(BLOCK, int))[BLOCK - 1 :]  # of a line and those after it
-    kept = np.zeros(len(found), bool)
+    run = np.zeros(len(found), bool)
     within = False
     for i in range(len(found)):
         if not within and sums[i] >= SURGE and weight[i]:
             within = True
         elif within and not sums[i]:
             within = False
-        kept[i] = within
-    if not kept.any():  # no surge at all: a short page
-        kept = weight > 0
-    return "\n".join(text for (text, _, masked, inside), keep in zip(found, kept) if keep and text and not masked and (inside or not marked))
+        run[i] = within and weight[i] > 0
+    if not run.any():  # no surge at all: a short page
+        return "\n".join(x.text for x, w in zip(found, weight) if w)
+    # The elements around the long lines, or around all lines of the runs where none is long.
+    held = {blocks[found[i].node][0] for i in np.flatnonzero(run & (weight >= SURGE) if (run & (weight >= SURGE)).any() else run)}
+    after, before = below(blocks, held), below(blocks, {node for node in held if not blocks[node][1]})
+    nodes = np.array([x.node for x in found])
+    first = np.flatnonzero(run | (weight > 0) & before[nodes])[0]
+    last = np.flatnonzero(run | (weight > 0) & after[nodes] & (np.arange(len(found)) >= np.flatnonzero(run)[0]))[-1]
+    return "\n".join(x.text for x in found[first : last + 1] if x.text and not x.masked and (x.inside or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:
