@@ -1,16 +1,16 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed low-order bits.
 
 Each distinct shingle (five words, A-Z lowered, split at white space) is hashed once; the hash names its bin, and the bin keeps its smallest
-value. An empty bin borrows from another bin, drawn by a hash of (bin, attempt) until a full one is met, the same way in every document. The low
+value. An empty bin borrows from the first full one in its own random order of all bins, the same in every document: every full bin is as likely, however few there are. The low
 BITS bits of each bin are packed and written in base64. Two fingerprints agree in a share m of bins; unlike values agree by chance in 1 of
 2**BITS, so the likeness is (m - c) / (1 - c) with c = 2**-BITS, cut to [0, 1].
 
-The edited copy of the query needs the next document in descending doc_id. Texts are dealt out once by ranges of doc_id; inside a range the next
+The edited copy of the query needs the next document in descending doc_id. Texts are dealt out once by ranges of doc_id, and of the text's md5 where ids repeat; inside a range the next
 row follows, and only the first and the last row of each range meet in a second, small step. The ranges are used in one job whose result is
 written, so that no second job can draw other ranges.
 
 A text without words has the empty fingerprint: likeness 1 with another empty one, 0 with any other. Null texts are empty; a null doc_id sorts
-last; rows with one doc_id go in order of their texts. An empty table gives no rows; a table of one row is its own next. Further columns are left out.
+last; rows with one doc_id go in order of the md5 of their texts. An empty table gives no rows; a table of one row is its own next. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -29,13 +29,12 @@ from flowsieve.llm.common import Memo, mix, shingles, slices, table, texts
 from flowsieve.session import durable
 
 BINS, BITS, WIDTH = 256, 4, 5
-TRIES = 64
 
 
 def _borrowed() -> np.ndarray:
-    """For every bin, the bins to borrow from in order of attempts."""
-    at = np.arange(BINS * TRIES, dtype=np.uint64).reshape(BINS, TRIES)
-    return (mix(at + np.uint64(0x51ED27)) % np.uint64(BINS)).astype(np.int64)
+    """For every bin, all bins in the order in which it asks them."""
+    at = np.arange(BINS * BINS, dtype=np.uint64).reshape(BINS, BINS)
+    return mix(at + np.uint64(0x51ED27)).argsort(axis=1, kind="stable")
 
 
 BORROWED = _borrowed()
@@ -53,13 +52,7 @@ def bins(hashes: np.ndarray) -> np.ndarray | None:
     full = (first < len(h)) & (out >> np.uint64(56) == EDGES >> np.uint64(56))
     if not full.all():
         empty = np.flatnonzero(~full)
-        hit = full[BORROWED[empty]]
-        source = BORROWED[empty, hit.argmax(1)]
-        # After TRIES attempts, the next full bin in a circle.
-        rest = ~hit.any(1)
-        there = np.flatnonzero(full)
-        source[rest] = there[np.searchsorted(there, empty[rest]) % len(there)]
-        out[empty] = out[source]
+        out[empty] = out[BORROWED[empty, full[BORROWED[empty]].argmax(1)]]
     return out
 
 
@@ -156,9 +149,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of each row, of its edited text, and their likeness."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
+    order = [F.desc_nulls_last("doc_id"), F.asc("digest")]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    dealt = docs.select("doc_id", "text", digest.alias("digest")).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("digest")
     made = durable(dealt.mapInArrow(_neighbours(id_type), RESULT.format(id=kind) + OPEN), "fingerprints")
     ends = made.where("side IS NOT NULL").select("doc_id", "part", "side", "text")
     # A range's last row is followed by the next range's first one; ranges are numbered in order, and empty ones are absent.
