@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowsieve.llm.common import Memo, mix, shingles, slices, table, texts
 from flowsieve.session import durable
@@ -148,7 +149,7 @@ def _ends(id_type: pa.DataType):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of each row, of its edited text, and their likeness."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     order = [F.desc_nulls_last("doc_id"), F.asc("digest")]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowsieve.llm.common import fold, slices, table, texts
 from flowsieve.session import durable
@@ -304,7 +305,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = Finder(model.weights.vocabulary)
-        ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+        ids = to_arrow_type(docs.schema["doc_id"].dataType)
         for batch in slices(batches, "text"):
             got = [model.score(t, known) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(ids))], [*batch.schema.names[1:], "score", "predicted", "evidence"])
