@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import col
 from flowsieve.functions.labels import feature_columns, normalize_label, not_benign
 from flowsieve.operators import ensemble, iforest, knn, lsh, metrics, sampling, stats, windows
+from flowsieve.operators.logistic import logistic_sql
 from flowsieve.plans import active_learning, label_budget, report, subsets, supervised
 from flowsieve.session import durable, scratch_folder
 from flowsieve.sources import benchmarks, tables
@@ -585,7 +586,20 @@ def q_prepare_cic(spark, folder):
 
 # ---- experiments ---------------------------------------------------------------------------------------------------
 
-@query("q_lr_cv")
+SCALED4 = ", ".join(f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER () AS x{i}" for i, c in enumerate(FOUR))
+SUMMARY = ", ".join(f'round(avg("{m}"), 4) AS {m}_mean, round(stddev_pop("{m}"), 4) AS {m}_std' for m in supervised.METRICS)
+
+
+@query("q_lr_cv", f"""WITH {FLOWS4}{FOLDS.format(label='label', id='id', table='flows4')}, scaled AS MATERIALIZED (SELECT id, label AS y, fold, {SCALED4} FROM folded),
+train AS MATERIALIZED (SELECT k.arm, s.* FROM scaled s JOIN (SELECT unnest(range(5)) AS arm) k ON s.fold <> k.arm),
+{logistic_sql('train', 4, 8, 'lr')},
+scored AS (SELECT fold, y, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + w4))) AS p FROM scaled JOIN lr_fit ON fold = arm),
+ranked AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS r FROM scored),
+counts AS (SELECT fold, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg, sum(r) FILTER (y = 1) AS ranks, count(*) FILTER (y = 1 AND p > 0.5) AS tp,
+count(*) FILTER (y = 0 AND p > 0.5) AS fp FROM ranked GROUP BY fold),
+m AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS "precision", tp / pos AS recall, 2 * tp / (tp + fp + pos) AS f1_score,
+(tp + neg - fp) / (pos + neg) AS accuracy, (ranks - pos * (pos + 1) / 2.0) / (CAST(pos AS DOUBLE) * neg) AS roc_auc FROM counts)
+SELECT 'logistic_regression' AS model, {SUMMARY} FROM m""")
 def q_lr_cv(spark, folder):
     return supervised.cross_validate(flows4(spark, folder), FOUR, "label", "id")
 
