@@ -196,7 +196,8 @@ def logistic_sql(rows: str, width: int, steps: int, name: str) -> str:
     every = range(width + 1)
     x = [f"x{i}" for i in range(width)] + ["1.0"]
     pairs = [(i, j) for i in every for j in every if i <= j]
-    spread = ", ".join(f"var_pop(x{i}) AS v{i}" for i in range(width))
+    # A column that is constant among the rows carries nothing: such a penalty keeps its weight at 0.
+    spread = ", ".join(f"CASE WHEN var_pop(x{i}) <= 1e-12 * greatest(1, avg(x{i}) ** 2) THEN 1e30 ELSE var_pop(x{i}) END AS v{i}" for i in range(width))
     out = [
         f"{name}_size AS MATERIALIZED (SELECT arm, count(*) / (2.0 * count(*) FILTER (y = 0)) AS c0, count(*) / (2.0 * count(*) FILTER (y = 1)) AS c1, {spread} FROM {rows} GROUP BY arm)",
         f"{name}_0 AS (SELECT arm, {', '.join(f'CAST(0 AS DOUBLE) AS w{i}' for i in every)} FROM {name}_size)",
@@ -207,13 +208,15 @@ def logistic_sql(rows: str, width: int, steps: int, name: str) -> str:
         scored = f"SELECT r.*, CASE WHEN y = 1 THEN c1 ELSE c0 END AS c, 1 / (1 + exp(-({z}))) AS p FROM {rows} r JOIN {name}_size USING (arm) JOIN {name}_{t - 1} USING (arm)"
         solved = f"SELECT * FROM (SELECT arm, {', '.join(sums)} FROM ({scored}) GROUP BY arm) JOIN {name}_size USING (arm) JOIN {name}_{t - 1} USING (arm)"
         # One nested query per unknown: a{k}_{i}_{j} and r{k}_{i} are what is left of the equations after k unknowns are eliminated.
-        layers = [[f"h{i}_{j}{f' + v{i}' if i == j and i < width else ''} AS a0_{i}_{j}" for i, j in pairs] + [f"g{i}{f' + v{i} * w{i}' if i < width else ''} AS r0_{i}" for i in every]]
+        kept = ["arm", *[f"w{i}" for i in every]]
+        first = [f"h{i}_{j}{f' + v{i}' if i == j and i < width else ''} AS a0_{i}_{j}" for i, j in pairs] + [f"g{i}{f' + v{i} * w{i}' if i < width else ''} AS r0_{i}" for i in every]
+        solved = f"SELECT {', '.join(kept + first)} FROM ({solved})"
         for k in range(width):
-            layers.append([f"a{k}_{i}_{j} - a{k}_{k}_{i} * a{k}_{k}_{j} / a{k}_{k}_{k} AS a{k + 1}_{i}_{j}" for i, j in pairs if i > k] + [f"r{k}_{i} - a{k}_{k}_{i} * r{k}_{k} / a{k}_{k}_{k} AS r{k + 1}_{i}" for i in every if i > k])
+            kept += [f"a{k}_{k}_{j}" for j in every if j >= k] + [f"r{k}_{k}"]
+            less = [f"a{k}_{i}_{j} - a{k}_{k}_{i} * a{k}_{k}_{j} / a{k}_{k}_{k} AS a{k + 1}_{i}_{j}" for i, j in pairs if i > k] + [f"r{k}_{i} - a{k}_{k}_{i} * r{k}_{k} / a{k}_{k}_{k} AS r{k + 1}_{i}" for i in every if i > k]
+            solved = f"SELECT {', '.join(kept + less)} FROM ({solved})"
         for i in reversed(every):
-            layers.append([f"(r{i}_{i}{''.join(f' - a{i}_{i}_{j} * s{j}' for j in every if j > i)}) / a{i}_{i}_{i} AS s{i}"])
-        for layer in layers:
-            solved = f"SELECT *, {', '.join(layer)} FROM ({solved})"
+            solved = f"SELECT *, (r{i}_{i}{''.join(f' - a{i}_{i}_{j} * s{j}' for j in every if j > i)}) / a{i}_{i}_{i} AS s{i} FROM ({solved})"
         out.append(f"{name}_{t} AS MATERIALIZED (SELECT arm, {', '.join(f'w{i} - s{i} AS w{i}' for i in every)} FROM ({solved}))")
     out.append(f"{name}_fit AS (SELECT * FROM {name}_{steps})")
     return ",\n".join(out)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.logistic import fit_arms, sigmoid, test_counts, with_intercept
+from flowsieve.operators.logistic import fit_arms, logistic_sql, sigmoid, test_counts, with_intercept
 from flowsieve.operators.metrics import scores_from_counts
 from flowsieve.operators.sampling import subset_cuts, subset_ranks
 from flowsieve.plans.experiment import experiment_table
@@ -120,3 +120,30 @@ def label_budget(df: DataFrame, features: list[str], truth: str, id_col: str, bu
 def self_training(df: DataFrame, features: list[str], truth: str, id_col: str, fraction: float, folds: int = 5, seed: int = 42) -> DataFrame:
     """F1 per fold with and without self-training, for one label fraction."""
     return budget_folds(df, features, truth, id_col, [fraction], folds, seed)[0]
+
+
+def budget_sql(rows: str, width: int, budgets: list[float], folds: int = 5, seed: int = 42, steps: int = 9) -> str:
+    """``budget_folds`` in SQL (DuckDB), to check results: table expressions ending in ``f1s`` (kind, labeled_fraction, fold, f1).
+
+    ``rows`` holds id, y, fold and scaled x0... Every arm goes through all rounds: one that promotes no row is fitted to the same rows again.
+    """
+    z = " + ".join([*[f"w{i} * x{i}" for i in range(width)], f"w{width}"])
+    out = [
+        "budgets AS (SELECT unnest([" + ", ".join(map(repr, budgets)) + "]::DOUBLE[]) AS fraction, unnest(range(" + str(len(budgets)) + ")) AS place)",
+        f"""ordered AS MATERIALIZED (SELECT k.k, r.*, row_number() OVER (PARTITION BY k.k ORDER BY md5('{seed}:' || k.k || ':' || id)) AS rn, count(*) OVER (PARTITION BY k.k) AS n
+FROM {rows} r JOIN (SELECT unnest(range({folds})) AS k) k ON r.fold <> k.k)""",
+        "late AS (SELECT k, max(first) AS late FROM (SELECT k, y, min(rn) AS first FROM ordered GROUP BY k, y) GROUP BY k)",
+        f"""arms AS MATERIALIZED (SELECT place * {folds} + k AS arm, fraction, k, y AS truth, o.* EXCLUDE (k, y, n), late, least(n, greatest(4, round_even(fraction * n, 0))) AS size
+FROM ordered o JOIN late USING (k) CROSS JOIN budgets)""",
+        "known0 AS MATERIALIZED (SELECT *, CASE WHEN CASE WHEN late <= size THEN rn <= size ELSE rn < size OR rn = late END THEN truth END AS label FROM arms)",
+    ]
+    for r in range(ROUNDS + 1):
+        if r:
+            out.append(f"""known{r} AS MATERIALIZED (SELECT * EXCLUDE (label, p), CASE WHEN label IS NULL AND greatest(p, 1 - p) > {CONFIDENCE} THEN CAST(p > 0.5 AS INTEGER) ELSE label END AS label
+FROM (SELECT a.*, 1 / (1 + exp(-({z}))) AS p FROM known{r - 1} a JOIN m{r - 1}_fit USING (arm)))""")
+        out += [f"train{r} AS MATERIALIZED (SELECT arm, label AS y, {', '.join(f'x{i}' for i in range(width))} FROM known{r} WHERE label IS NOT NULL)", logistic_sql(f"train{r}", width, steps, f"m{r}")]
+    out.append(f"""f1s AS (SELECT kind, fraction AS labeled_fraction, CAST(k AS INTEGER) AS fold, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM (
+SELECT kind, fraction, k, count(*) FILTER (y = 1 AND hit) AS tp, count(*) FILTER (y = 0 AND hit) AS fp, count(*) FILTER (y = 1 AND NOT hit) AS fn FROM (
+SELECT kind, fraction, k, y, {z} > 0 AS hit FROM (SELECT 'supervised' AS kind, * FROM m0_fit UNION ALL SELECT 'self_training', * FROM m{ROUNDS}_fit)
+JOIN (SELECT DISTINCT arm, fraction, k FROM arms) USING (arm) JOIN {rows} r ON r.fold = k) GROUP BY kind, fraction, k))""")
+    return ",\n".join(out)

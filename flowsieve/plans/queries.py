@@ -369,228 +369,14 @@ def scaled_view(df: DataFrame, features: list[str], id_col: str):
     return report.scaled_rows(clean, features, id_col, fitted), fitted
 
 
-SCALED4 = f"{FLOWS4}, {S4}, scaled4 AS (SELECT id, " + ", ".join(f"(({c} - m_{c}) / s_{c}) AS {c}" for c in FOUR) + " FROM flows4, s)"
-
-
-@query("q_iforest", f"""WITH {SCALED4},
-{iforest.forest_sql('scaled4', FOUR)},
-nine AS (SELECT id, round(score, 9) AS score FROM forest_scores), cut AS (SELECT quantile_cont(score, 0.88) AS c FROM nine)
-SELECT id, round(score, 4) AS isolation_forest_score, CAST(score > c AS INTEGER) AS isolation_forest_flag FROM nine, cut""")
-def q_iforest(spark, folder):
-    rows, fitted = scaled_view(flows4(spark, folder), FOUR, "id")
-    return report.forest_flags(rows, "id", fitted.rows).withColumn("isolation_forest_score", F.round("isolation_forest_score", 4))
-
-
-LOF_SQL = """WITH long AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i)),
-s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM long GROUP BY i),
-scaled AS (SELECT vec_id, list(CASE WHEN sd = 0 THEN 0.0 ELSE (v - m) / sd END ORDER BY i) AS x FROM long JOIN s USING (i) GROUP BY vec_id),
-points AS (SELECT x, min(vec_id) AS p, count(*) AS w FROM scaled GROUP BY x),
-pairs AS (SELECT a.p, b.p AS q, CASE WHEN a.p = b.p THEN 0.0 ELSE list_distance(a.x, b.x) END AS d, CASE WHEN a.p = b.p THEN b.w - 1 ELSE b.w END AS w
-FROM points a, points b WHERE a.p <> b.p OR a.w > 1),
-filled AS (SELECT *, sum(w) OVER (PARTITION BY p ORDER BY d, q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w AS before FROM pairs),
-near AS (SELECT p, q, d, least(w, 20 - before) AS w FROM filled WHERE before < 20),
-kd AS (SELECT p, max(d) AS kd FROM near GROUP BY p),
-lrd AS (SELECT near.p, 1 / (sum(w * greatest(kd.kd, d)) / sum(w) + 1e-10) AS lrd FROM near JOIN kd ON kd.p = near.q GROUP BY near.p),
-lof AS (SELECT near.p, sum(w * nb.lrd) / sum(w) / any_value(me.lrd) AS lof FROM near JOIN lrd nb ON nb.p = near.q JOIN lrd me ON me.p = near.p GROUP BY near.p),
-rows_ AS (SELECT scaled.vec_id, lof.lof FROM scaled JOIN points USING (x) JOIN lof ON lof.p = points.p),
-cut AS (SELECT quantile_cont(lof, 0.88) AS c FROM rows_)
-SELECT vec_id, round(lof, 4) AS lof_score, CAST(lof > c AS INTEGER) AS lof_flag FROM rows_, cut"""
-
-
-@query("q_lof", LOF_SQL)
-def q_lof(spark, folder):
-    rows, _ = scaled_view(vectors(spark, folder), [f"e{i}" for i in range(DIMS)], "vec_id")
-    return report.lof_flags(rows, "vec_id").withColumn("lof_score", F.round("lof_score", 4))
-
-
-@query("q_lof_flows")
-def q_lof_flows(spark, folder):
-    rows, _ = scaled_view(flows4(spark, folder), FOUR, "id")
-    return report.lof_flags(rows, "id").withColumn("lof_score", F.round("lof_score", 4))
-
-
-@query("q_lof_lsh", """SELECT count(*) AS points, CAST(count(*) * 20 AS BIGINT) AS neighbours, true AS recall_reached,
-CAST(count(*) - 1 - floor((count(*) - 1) * 0.88) AS BIGINT) AS flagged, true AS flags_agree FROM embeddings""")
-def q_lof_lsh(spark, folder):
-    """Neighbours and factors from hash tables, held against the exact ones: how many there are, and whether recall and flags come up to 0.9."""
-    rows, fitted = scaled_view(vectors(spark, folder), [f"e{i}" for i in range(DIMS)], "vec_id")
-    points = durable(knn.weighted_points(rows), "points", fitted.rows)
-    exact = knn.nearest_neighbours(points, fitted.rows, DIMS, 20).select("key", F.array_max("dist").alias("far"))
-    near = lsh.hashed_neighbours(points, fitted.rows, DIMS, 20, bucket=128).near.join(exact, "key")
-    inside = F.aggregate(F.filter("dist", lambda v: v <= F.col("far") * (1 + 1e-9)), F.lit(0), lambda a, _: a + 1)
-    searched = near.agg(F.count(F.lit(1)).alias("points"), F.sum(F.size("q")).alias("neighbours"), (F.avg(inside / 20.0) >= 0.9).alias("recall_reached"))
-    flags = report.lof_flags(rows, "vec_id", search="hashed").select("vec_id", "lof_flag").join(report.lof_flags(rows, "vec_id").select("vec_id", F.col("lof_flag").alias("exact_flag")), "vec_id")
-    both = flags.agg(F.sum("lof_flag").cast("bigint").alias("flagged"), (F.sum(F.col("lof_flag") * F.col("exact_flag")) >= 0.9 * F.sum("exact_flag")).alias("flags_agree"))
-    return searched.join(F.broadcast(both))  # one row each
-
-
-@query("q_ocsvm")
-def q_ocsvm(spark, folder):
-    rows, fitted = scaled_view(flows4(spark, folder), FOUR, "id")
-    return report.svm_flags(rows, "id", fitted, fitted.rows).withColumn("one_class_svm_score", F.round("one_class_svm_score", 4))
-
-
-@query("q_vote", f"WITH {FLAGS} SELECT event_id, ensemble_votes, is_anomaly FROM flags")
-def q_vote(spark, folder):
-    return flag_table(spark, folder).select("event_id", "ensemble_votes", "is_anomaly")
-
-
-@query("q_reason", f"""WITH {FLAGS} SELECT event_id, CASE WHEN is_anomaly = 0 THEN 'baseline behavior' ELSE concat_ws('; ',
-CASE WHEN z_score_flag = 1 THEN z_score_reason END, CASE WHEN isolation_forest_flag = 1 THEN '{ensemble.MODEL_REASONS['isolation_forest_flag']}' END,
-CASE WHEN lof_flag = 1 THEN '{ensemble.MODEL_REASONS['lof_flag']}' END, CASE WHEN one_class_svm_flag = 1 THEN '{ensemble.MODEL_REASONS['one_class_svm_flag']}' END)
-END AS anomaly_reason, CASE WHEN is_anomaly = 0 THEN '' ELSE concat_ws(',', CASE WHEN z_score_flag = 1 THEN 'Z_SCORE' END,
-CASE WHEN isolation_forest_flag = 1 THEN 'ISOLATION_FOREST' END, CASE WHEN lof_flag = 1 THEN 'LOCAL_OUTLIER_FACTOR' END,
-CASE WHEN one_class_svm_flag = 1 THEN 'ONE_CLASS_SVM' END) END AS reason_codes FROM flags""")
-def q_reason(spark, folder):
-    return ensemble.with_reason(flag_table(spark, folder)).select("event_id", "anomaly_reason", F.array_join("reason_codes", ",").alias("reason_codes"))
-
-
-FLAGGED = "CAST(n - 1 - floor((n - 1) * 0.88) AS BIGINT)"
-
-
-@query("q_report", f"""WITH {FLOWS}, s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk, count(*) AS n FROM flows),
-scaled2 AS (SELECT event_id AS id, (value - mv) / sv AS value, (k - mk) / sk AS k FROM flows, s),
-{iforest.forest_sql('scaled2', ['value', 'k'])},
-nine AS (SELECT id, round(score, 9) AS score FROM forest_scores), cut AS (SELECT quantile_cont(score, 0.88) AS c FROM nine)
-SELECT event_id, flows.value, CAST(abs((flows.value - mv) / sv) >= 2.5 OR abs((flows.k - mk) / sk) >= 2.5 AS INTEGER) AS z_score_flag, round(score, 4) AS isolation_forest_score,
-CAST(score > c AS INTEGER) AS isolation_forest_flag, CASE WHEN label = 'attack' THEN 1 ELSE 0 END AS ground_truth, true AS votes_agree, true AS reasons_agree,
-{FLAGGED} AS lof_flagged, {FLAGGED} AS one_class_svm_flagged FROM flows JOIN nine ON id = event_id, s, cut""")
-def q_report(spark, folder):
-    """The whole report; of what SQL cannot say (two detectors, the texts) there remain the numbers of flags and whether votes and reasons follow from them."""
-    done = durable(report.build_report(flows(spark, folder), ["value", "k"], "event_id", "label"), "report")
-    flags = [f for f in metrics.METHODS.values() if f != "is_anomaly"]
-    votes = sum((F.col(f) for f in flags), F.lit(0))
-    agree = (F.col("ensemble_votes") == votes) & (F.col("is_anomaly") == (votes >= 2).cast("int"))
-    named = (F.col("anomaly_reason") != stats.BASELINE) == (F.col("is_anomaly") == 1)
-    codes = F.when(F.col("is_anomaly") == 1, F.size("reason_codes") == votes).otherwise(F.size("reason_codes") == 0)
-    totals = done.agg(F.sum("lof_flag").cast("bigint").alias("lof_flagged"), F.sum("one_class_svm_flag").cast("bigint").alias("one_class_svm_flagged"))
-    kept = done.select("event_id", "value", "z_score_flag", "isolation_forest_score", "isolation_forest_flag", "ground_truth", agree.alias("votes_agree"), (named & codes).alias("reasons_agree"))
-    return kept.join(F.broadcast(totals))  # one row
-
-
-@query("q_unusual_windows", f"""WITH {FLOWS}, w AS (SELECT user_id, (epoch_us(ts) // 1800000000) * 1800000000 AS window_us, avg(value) AS value_mean,
-sum(value) AS value_sum, count(value) AS value_count, avg(k) AS k_mean, sum(k) AS k_sum, count(k) AS k_count FROM flows GROUP BY 1, 2),
-s AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("value_mean", "value_sum", "value_count", "k_mean", "k_sum", "k_count")) + """ FROM w),
-z AS (SELECT user_id, window_us, greatest(""" + ", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE abs({c} - m_{c}) / s_{c} END" for c in ("value_mean", "value_sum", "value_count", "k_mean", "k_sum", "k_count")) + """) AS zmax FROM w, s)
-SELECT user_id, window_us, round(zmax, 4) AS z_score_max FROM z WHERE zmax >= 2.5""")
-def q_unusual_windows(spark, folder):
-    """Which source and window is unusual: window aggregates, then z-scores on them."""
-    return unusual_windows(spark, folder).select("user_id", F.unix_micros("timestamp").alias("window_us"), "z_score_max")
-
-
-def unusual_windows(spark, folder) -> DataFrame:
-    framed = durable(windows.window_frame(flows(spark, folder), "user_id", 30, "ts", ["value", "k"]), "windows")
-    names = feature_columns(framed, None, ("user_id",))
-    scored = stats.with_zscore(framed, stats.fit_stats(framed, names), 2.5)
-    return scored.where("z_score_flag = 1")
-
-
-# ---- streaming -----------------------------------------------------------------------------------------------------
-
-ARRIVALS, LATE_MS = 3, 3_600_000
-STREAM_STATS = ("value_mean", "value_sum", "value_count", "k_mean", "k_sum", "k_count")
-
-
-@query("q_stream_windows", f"""WITH {FLOWS}, span AS (SELECT epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1 FROM flows),
-timed AS (SELECT user_id, value, k, epoch_us(ts) AS us, (epoch_us(ts) // 1800000000) * 1800000000 AS window_us,
-  least({ARRIVALS - 1}, {ARRIVALS} * (epoch_us(ts) - t0) // (t1 - t0) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS arrival FROM flows, span),
-tops AS (SELECT arrival, max(us) AS top FROM timed GROUP BY arrival),
-marks AS (SELECT a.arrival, (SELECT max(top) // 1000 - {LATE_MS} FROM tops b WHERE b.arrival < a.arrival) AS mark FROM tops a),
-judged AS (SELECT timed.*, coalesce((window_us + 1800000000) // 1000 <= mark, false) AS late FROM timed JOIN marks USING (arrival)),
-dropped AS (SELECT count(*) AS late_groups FROM (SELECT DISTINCT arrival, user_id, window_us FROM judged WHERE late)),
-w AS (SELECT user_id, window_us, avg(value) AS value_mean, sum(value) AS value_sum, count(value) AS value_count, avg(k) AS k_mean, sum(k) AS k_sum, count(k) AS k_count
-  FROM judged WHERE NOT late GROUP BY 1, 2),
-base AS (SELECT user_id, window_us, avg(value) AS value_mean, sum(value) AS value_sum, count(value) AS value_count, avg(k) AS k_mean, sum(k) AS k_sum, count(k) AS k_count
-  FROM judged WHERE arrival = 0 GROUP BY 1, 2),
-s AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in STREAM_STATS) + """ FROM base)
-SELECT user_id, window_us, round(value_sum, 4) AS value_sum, value_count, round(greatest(""" + ", ".join(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE abs({c} - m_{c}) / s_{c} END" for c in STREAM_STATS) + f"""), 4) AS z_score_max, late_groups
-FROM w, s, dropped WHERE (window_us + 1800000000) // 1000 <= (SELECT max(top) // 1000 - {LATE_MS} FROM tops)""")
-def q_stream_windows(spark, folder):
-    """Events arrive in three loads, a tenth of them a load too late. A stream reads each load, going on from the state the last one left, and scores closed windows against saved statistics."""
-    seen = flows(spark, folder).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    t0, t1 = seen.agg(F.min("us"), F.max("us")).first()
-    t0, t1 = t0 or 0, t1 or 0
-    load = F.expr(f"({ARRIVALS} * (us - {t0})) div {max(1, t1 - t0)}") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
-    loads = durable(seen.withColumn("arrival", F.least(F.lit(ARRIVALS - 1), load)).select("user_id", "ts", "value", "k", "arrival"), "stream-loads")
-    rows = loads.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value", "k", "arrival")
-    first = windows.window_frame(rows.where("arrival = 0"), "user_id", 30, "ts", ["value", "k"])
-    saved = durable(stats.fit_stats(first, list(STREAM_STATS)).table(spark), "stream-stats")
-    inbox, target, state = (scratch_folder(spark, f"stream-{name}") for name in ("inbox", "windows", "state"))
-    runs = []
-    for k in range(ARRIVALS):
-        rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(rows.drop("arrival").schema).parquet(inbox)
-        runs.append(stream_windows.run_available(stream, "user_id", 30, ["value", "k"], stats.ColumnStats.from_table(saved), target, state, "ts"))
-    closed = spark.read.schema(runs[-1].schema).parquet(target)
-    return closed.select("user_id", F.unix_micros("timestamp").alias("window_us"), F.round("value_sum", 4).alias("value_sum"), "value_count", "z_score_max",
-                         F.lit(sum(r.late_groups for r in runs)).cast("bigint").alias("late_groups"))
-
-
-# ---- samples and folds ---------------------------------------------------------------------------------------------
-
-@query("q_balanced_sample", f"""WITH {FLOWS} SELECT event_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || event_id)) <= 150""")
-def q_balanced_sample(spark, folder):
-    return sampling.balanced_sample(flows(spark, folder).select("event_id", "label"), "label", "event_id", 150)
-
-
-@query("q_folds", f"""WITH {FLOWS}{FOLDS.format(label='label', id='event_id', table='flows')} SELECT event_id, label, fold FROM folded""")
-def q_folds(spark, folder):
-    return sampling.with_folds(flows(spark, folder).select("event_id", "label"), "label", "event_id")
-
-
-@query("q_label_subset", f"""WITH {FLOWS}, r AS (SELECT event_id, CASE WHEN label = 'attack' THEN 1 ELSE 0 END AS truth,
-row_number() OVER (ORDER BY md5('42:' || event_id)) AS rn, greatest(4, round_even(0.05 * count(*) OVER (), 0)) AS size FROM flows)
-SELECT event_id, truth FROM r WHERE rn <= size""")
-def q_label_subset(spark, folder):
-    df = flows(spark, folder).select("event_id", normalize_label(F.col("label")).alias("truth"))
-    return sampling.labeled_subset(df, "truth", "event_id", 0.05)
-
-
-@query("q_seed_labels", f"""WITH {FLOWS} SELECT event_id, CASE WHEN label = 'attack' THEN 1 ELSE 0 END AS truth FROM flows
-QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || event_id)) <= 5""")
-def q_seed_labels(spark, folder):
-    df = flows(spark, folder).select("event_id", normalize_label(F.col("label")).alias("truth"))
-    return sampling.seed_labels(df, "truth", "event_id")
-
-
-@query("q_prepare_subset", f"""WITH {FLOWS}, {FLOWS4}, both_ AS (SELECT 'e' || event_id AS id, value AS dur, CAST(k AS BIGINT) AS spkts, CAST(label = 'attack' AS INTEGER) AS label FROM flows
-UNION ALL SELECT 'l' || id, l_quantity, CAST(l_discount * 100 AS BIGINT), label FROM flows4)
-SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) <= 400""")
-def q_prepare_subset(spark, folder):
-    train = flows(spark, folder).select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("value").alias("dur"), F.col("k").alias("Spkts"), F.when(F.col("label") == "attack", 1).otherwise(0).alias("label"))
-    test = flows4(spark, folder).select(F.concat(F.lit("l"), F.col("id")).alias("id"), F.col("l_quantity").alias("dur"), F.round(F.col("l_discount") * 100).cast("bigint").alias("Spkts"), "label")
-    return subsets.prepare_unsw([train, test], "id", 400)
-
-
-@query("q_prepare_cic", f"""WITH {FLOWS4}, wide AS (SELECT id AS "Flow ID", l_quantity AS "Flow Duration", l_extendedprice / l_tax AS "Flow Bytes/s",
-CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS "Label" FROM flows4 WHERE l_tax <> 0), picked AS (
-SELECT *, row_number() OVER (PARTITION BY "Label" ORDER BY md5('42:' || "Flow ID")) AS place FROM wide)
-SELECT "Flow ID", "Flow Duration", "Flow Bytes/s", "Label", place, (SELECT count(*) FROM picked WHERE place <= 700 AND "Label" = 1) AS attacks
-FROM picked WHERE place <= 700""")
-def q_prepare_cic(spark, folder):
-    """Two files of flows, prepared into a written subset and read back: rows, their place in the written order, and the rows of the attack folder alone."""
-    whole = cic_style(spark, folder).drop("Label2")
-    halves = F.pmod(F.xxhash64("Flow ID"), F.lit(2))
-    paths = []
-    for k in (0, 1):
-        paths.append(f"{scratch_folder(spark, 'cic')}/part{k}.parquet")
-        whole.where(halves == k).write.parquet(paths[k])
-    target = scratch_folder(spark, "cic-subset")
-    subset = subsets.prepare_files(spark, "cic", paths, target, "Flow ID", 700, rows_per_file=300)
-    # The place of a row by file and position, as a reader of the folder meets it.
-    placed = subset.withColumn("at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
-    order = Window.partitionBy("Label").orderBy("at")
-    attacks = subset.where("Label = 1").count()
-    return placed.withColumn("place", F.row_number().over(order).cast("bigint")).drop("at").withColumn("attacks", F.lit(attacks).cast("bigint"))
-
-
-# ---- experiments ---------------------------------------------------------------------------------------------------
-
-SCALED4 = ", ".join(f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER () AS x{i}" for i, c in enumerate(FOUR))
+def scaled_sql(columns: list[str]) -> str:
+    return ", ".join(f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER () AS x{i}" for i, c in enumerate(columns))
+
+
 SUMMARY = ", ".join(f'round(avg("{m}"), 4) AS {m}_mean, round(stddev_pop("{m}"), 4) AS {m}_std' for m in supervised.METRICS)
 
 
-@query("q_lr_cv", f"""WITH {FLOWS4}{FOLDS.format(label='label', id='id', table='flows4')}, scaled AS MATERIALIZED (SELECT id, label AS y, fold, {SCALED4} FROM folded),
+@query("q_lr_cv", f"""WITH {FLOWS4}{FOLDS.format(label='label', id='id', table='flows4')}, scaled AS MATERIALIZED (SELECT id, label AS y, fold, {scaled_sql(FOUR)} FROM folded),
 train AS MATERIALIZED (SELECT k.arm, s.* FROM scaled s JOIN (SELECT unnest(range(5)) AS arm) k ON s.fold <> k.arm),
 {logistic_sql('train', 4, 8, 'lr')},
 scored AS (SELECT fold, y, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + w4))) AS p FROM scaled JOIN lr_fit ON fold = arm),
@@ -622,12 +408,23 @@ def q_benchmark(spark, folder):
     return found.withColumn("numeric_features", F.array_join("numeric_features", ","))
 
 
-@query("q_self_training")
+TEXTS = r"""texts AS (SELECT doc_id, chars, words, lines, size / words AS word_length, length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(size, 1) AS digit_share,
+length(regexp_replace(text, '[\p{L}\p{N} \t\n\x0B\f\r]', '', 'g')) / greatest(size, 1) AS sign_share, quality AS label FROM (
+SELECT doc_id, text, CAST(n_chars AS DOUBLE) AS chars, CAST(len(string_split_regex(text, '[ \t\n\x0B\f\r]+')) AS DOUBLE) AS words,
+CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines, length(text) AS size FROM documents) JOIN labels USING (doc_id) WHERE text IS NOT NULL AND chars IS NOT NULL AND quality IS NOT NULL)"""
+
+
+@query("q_self_training", f"""WITH {TEXTS}{FOLDS.format(label='label', id='doc_id', table='texts')}, scaled AS MATERIALIZED (SELECT doc_id AS id, label AS y, fold, {scaled_sql(TEXT_FEATURES)} FROM folded),
+{label_budget.budget_sql('scaled', 6, [0.05])} SELECT * FROM f1s""")
 def q_self_training(spark, folder):
     return label_budget.self_training(texts(spark, folder), TEXT_FEATURES, "label", "doc_id", 0.05)
 
 
-@query("q_label_budget")
+@query("q_label_budget", f"""WITH {FLOWS}, clean AS (SELECT event_id, value, k, CAST(label = 'attack' AS INTEGER) AS truth FROM flows WHERE isfinite(value) AND k IS NOT NULL)
+{FOLDS.format(label='truth', id='event_id', table='clean')}, scaled AS MATERIALIZED (SELECT event_id AS id, truth AS y, fold, {scaled_sql(['value', 'k'])} FROM folded),
+{label_budget.budget_sql('scaled', 2, label_budget.BUDGETS)}
+SELECT labeled_fraction, {', '.join(f"round(avg(f1) FILTER (kind = '{m}'), 4) AS {m}_f1, round(stddev_pop(f1) FILTER (kind = '{m}'), 4) AS {m}_f1_std" for m in ('supervised', 'self_training'))},
+CAST(greatest(4, round_even(labeled_fraction * (SELECT count(*) FROM scaled) * 4 / 5, 0)) AS BIGINT) AS approx_labeled_rows FROM f1s GROUP BY labeled_fraction""")
 def q_label_budget(spark, folder):
     df = flows(spark, folder).select("event_id", "value", "k", normalize_label(F.col("label")).alias("truth"))
     return label_budget.label_budget(df, ["value", "k"], "truth", "event_id")
