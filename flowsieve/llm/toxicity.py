@@ -1,15 +1,15 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are at most LABELLED labelled rows, the first in a hash order of their ids; they are the only thing that is sampled. Terms are words and the runs of four and
-five letters in them. A term counts if the odds of toxic examples among those with it are LIFT times the usual ones, and beyond chance, given how many terms are tried; at most
-TERMS are kept. A text without any of these terms is compared by all its words with the examples that have none either.
-Inverse document frequencies of terms and words come from all documents, and every document is scored.
+Examples are at most LABELLED labelled rows, the first in a hash order of their ids; they are the only thing that is sampled. Terms are all words of the
+examples, whole and of any length; none is chosen or left out. A term weighs its (damped) count, times its inverse document frequency over all documents, times its
+relevance: how many times likelier a toxic example has it than a clean one, on a log scale, to the power POWER. Words that no example has count in a
+text's length only. Every document is scored from its whole text.
 
-The index holds, for every term, the largest weight in each block of examples. A query sums these maxima to a bound per block, opens blocks in
-order of their bounds, and stops when no bound can beat the NEAR nearest found, so the neighbours are exact. They vote with their cosine as
-weight. Votes become probabilities by isotonic regression on the examples' own votes, each found without itself, for texts with terms and for the others apart.
-All words are too many for rows of all examples: their index is a list of examples and weights per word, which is summed whole. A text that shares no word with
-such examples gets their toxic share. Evidence are the nearest examples' ids.
+The index has posting lists of examples and weights. For the FREQUENT terms that most examples have it holds their weights by blocks of examples, with the
+largest weight of each block. A query adds up the lists of its other terms, which are short, then adds each block's maxima to get a bound per example, works out the examples with the
+best bounds, and after these all whose bound can still beat the NEAR nearest found, so the neighbours are exact. They vote with their cosine as
+weight. Votes become probabilities by isotonic regression on the examples' own votes, each found without the rows of its id and with its own label taken out of the relevance.
+A text that shares no word with any example gets the toxic share of the examples without words, which leans on that of all. Evidence are the nearest examples' ids.
 
 Nulls: a null text is empty; labels without doc_id or toxic are left out; a document with several labels is toxic if one says so. Without
 examples every score is 0. Equal cosines go by the order of examples. An empty table gives no rows. Further columns are left out.
@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,61 +31,16 @@ from flowsieve.llm.common import fold, slices, table, texts
 from flowsieve.session import durable
 
 LABELLED = 12_000
-TERMS = 1500
 NEAR = 15
 BLOCK = 64
-SHRINK = 0.5
-LIFT = 9.0
-LEAST = 3
+FREQUENT = 1024
+POWER = 1.5
+SHRINK = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def pieces(word: str) -> tuple[str, ...]:
-    """The terms of a word: itself and its letter runs, with marks at its ends."""
-    marked = f"^{word[:60]}$"
-    return tuple({marked, *(marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1))})
-
-
-class Finder:
-    """Terms of a vocabulary in lowered texts: one automaton looks for their letters, marks are checked where they occur."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.automaton = ahocorasick.Automaton()
-        letters: dict[str, list[tuple[int, bool, bool]]] = {}
-        for term, number in vocabulary.items():
-            letters.setdefault(term.strip("^$"), []).append((number, term[0] == "^", term[-1] == "$"))
-        for word, forms in letters.items():
-            self.automaton.add_word(word, (len(word), forms))
-        self.empty = not letters
-        if letters:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        if self.empty or not text:
-            return out
-        text = text.lower()
-        for last, (size, forms) in self.automaton.iter(text):
-            for number, left, right in forms:
-                if (not left or last < size or not text[last - size].isalpha()) and (not right or last + 1 == len(text) or not text[last + 1].isalpha()):
-                    out[number] += 1
-        return out
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = {0: Counter(), 1: Counter()}
-    for batch in slices(batches, "text"):
-        for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
-            counts[toxic].update({p for w in set(WORD.findall((text or "").lower())) for p in pieces(w)})
-        if sum(map(len, counts.values())) > 2_000_000:
-            yield _rows(counts)
-            counts = {0: Counter(), 1: Counter()}
-    yield _rows(counts)
-
-
-def _rows(counts: dict[int, Counter]) -> pa.RecordBatch:
-    terms = list(counts[0].keys() | counts[1].keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0)]], ["term", "bad", "good"])
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
 def examples(docs: DataFrame, labels: DataFrame, train: object) -> DataFrame:
@@ -96,139 +50,128 @@ def examples(docs: DataFrame, labels: DataFrame, train: object) -> DataFrame:
     return durable(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "examples")
 
 
-def select_terms(sample: DataFrame) -> dict[str, int]:
-    """Terms that toxic examples hold more often than chance allows, best first."""
-    rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).head()
-    if not rows or not toxic or toxic == rows:
-        return {}
-    share = toxic / rows
-    counts = sample.mapInArrow(_candidates, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST)
-    counts = durable(counts, "terms")
-    tried = max(counts.count(), 1)
-    n, p = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
-    gain = F.col("bad") * F.log(p / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - share))).otherwise(0.0)
-    best = counts.withColumn("gain", gain).where((F.col("gain") > float(np.log(tried)) + 1) & (F.col("bad") * (1 - share) >= LIFT * share * F.col("good"))).orderBy(F.desc("gain"), "term").limit(TERMS)
-    return {r["term"]: k for k, r in enumerate(best.collect())}
-
-
-def example_words(sample: DataFrame) -> dict[str, int]:
-    """All words of the examples."""
+def _example_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = {0: Counter(), 1: Counter()}
+    for batch in slices(batches, "text"):
+        for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
+            counts[toxic].update(set(words_of(text)))
+    words = list(counts[0].keys() | counts[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([counts[y][w] for w in words], pa.int64()) for y in (1, 0)]], ["word", "bad", "good"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {w for batch in slices(batches, "text") for text in texts(batch) for w in WORD.findall((text or "").lower())}
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
 
-    found = sample.select("text").mapInArrow(run, "word string").distinct().toArrow().column("word").to_pylist()
-    return {w: k for k, w in enumerate(sorted(found))}
+def example_words(sample: DataFrame) -> pa.Table:
+    """Every word of the examples in order, with the numbers of toxic and of clean examples that have it."""
+    return sample.mapInArrow(_example_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).orderBy("word").toArrow()
 
 
-def frequencies(docs: DataFrame, vocabulary, words) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of the whole table that hold each term and each word; the last entry counts all documents."""
-    size = len(vocabulary.value)
+def frequencies(docs: DataFrame, words) -> np.ndarray:
+    """Documents of the whole table that hold each word; the last entry counts all documents."""
+    size = len(words.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number, total = Finder(vocabulary.value), words.value, np.zeros(size + len(words.value) + 1, np.int64)
+        number, total = words.value, np.zeros(size + 1, np.int64)
         for batch in slices(batches, "text"):
             for text in texts(batch):
-                total[list(known.counts(text))] += 1
-                total[[size + number[w] for w in set(WORD.findall((text or "").lower())) if w in number]] += 1
+                total[[number[w] for w in set(words_of(text)) if w in number]] += 1
                 total[-1] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    out = np.zeros(size + len(words.value) + 1, np.int64)
+    out = np.zeros(size + 1, np.int64)
     counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
-    return np.append(out[:size], out[-1]), out[size:]
+    return out
 
 
 class Weights:
-    """Unit TF-IDF vectors over the chosen terms, and over all words of the examples."""
-
-    def __init__(self, vocabulary: dict[str, int], counts: np.ndarray, words: dict[str, int], word_counts: np.ndarray):
-        self.vocabulary, self.words = vocabulary, words
-        self.idf, self.word_idf = (np.log((n[-1] + 1) / (n[:-1] + 1)) + 1 for n in (counts, word_counts))
-        self.unseen = float(np.log(word_counts[-1] + 1)) + 1
-
-    def vector(self, text: str | None, known: Finder) -> tuple[np.ndarray, np.ndarray]:
-        counts = known.counts(text)
-        at = np.array(sorted(counts), np.int64)
-        w = np.array([1 + np.log(counts[t]) for t in at.tolist()]) * self.idf[at] if len(at) else np.empty(0)
-        return at, w / max(float(np.sqrt((w * w).sum())), 1e-12)
-
-    def word_vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Words no example has count in the length only, as the rarest."""
-        counts = Counter(WORD.findall((text or "").lower()))
-        found = {self.words[w]: n for w, n in counts.items() if w in self.words}
-        at = np.fromiter(found, np.int64, len(found))
-        w = (1 + np.log(np.fromiter(found.values(), float, len(found)))) * self.word_idf[at]
-        rest = (1 + np.log(np.array([n for w, n in counts.items() if w not in self.words] or [0.0]).clip(1e-12))).clip(0) * self.unseen
+    """Unit TF-IDF vectors over all words of the examples."""
+
+    def __init__(self, words: dict[str, int], frequency: np.ndarray, bad: np.ndarray, good: np.ndarray, toxic: int, clean: int):
+        self.words, self.bad, self.good = words, bad, good
+        self.odds = clean / max(toxic, 1)
+        self.idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
+        self.unseen = float(np.log(frequency[-1] + 1)) + 1
+        self.factor = self.idf * self.relevance(bad, good)
+
+    def relevance(self, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """One for a word that no toxic example has."""
+        return np.log2(2 + bad * self.odds / np.maximum(good, 1)) ** POWER
+
+    def vector(self, text: str | None, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text; ``own`` is the label of an example whose own part in the relevance is taken out."""
+        counts = Counter(words_of(text))
+        number = self.words
+        found = [(number[w], n) for w, n in counts.items() if w in number]
+        at = np.array([k for k, _ in found], np.int64)
+        w = 1 + np.log(np.array([n for _, n in found], float))
+        if own is None:
+            w *= self.factor[at]
+        else:
+            w *= self.idf[at] * self.relevance(self.bad[at] - own, self.good[at] - (1 - own))
+        rest = np.array([n for word, n in counts.items() if word not in number], float)
+        rest = (1 + np.log(rest)) * self.unseen
         return at, w / max(float(np.sqrt((w * w).sum() + (rest * rest).sum())), 1e-12)
 
 
 class Index:
-    """Block-max index over the examples."""
+    """Block-max inverted index over the examples."""
 
     def __init__(self, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         # Examples with the same heaviest term stand together, so that blocks hold like vectors and their maxima are tight.
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]) if len(vectors[k][0]) else terms, k))
         self.ids, self.toxic = [ids[k] for k in order], toxic[order].astype(float)
-        self.blocks = -(-len(ids) // BLOCK)
-        self.dense = np.zeros((self.blocks * BLOCK, terms), np.float32)
-        for row, k in enumerate(order):
-            self.dense[row, vectors[k][0]] = vectors[k][1]
-        self.dense = self.dense.reshape(self.blocks, BLOCK, terms)
-        self.most = self.dense.max(1)
-        self.place = {k: row for row, k in enumerate(order)}
-
-    def near(self, at: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the NEAR nearest examples with a positive cosine; ``but`` is left out."""
-        bound = self.most[:, at] @ w
+        self.places: dict = {}
+        for row, i in enumerate(self.ids):
+            self.places.setdefault(i, []).append(row)
+        at = np.concatenate([vectors[k][0] for k in order])
+        weights = np.concatenate([vectors[k][1] for k in order]).astype(np.float32)
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(vectors[k][0]) for k in order])
+        often = np.bincount(at, minlength=terms)
+        frequent = np.argsort(-often, kind="stable")[:FREQUENT]
+        frequent = frequent[often[frequent] > 1]
+        self.column = np.full(terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        blocks = -(-len(ids) // BLOCK)
+        self.dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+        mine = self.column[at] >= 0
+        self.dense[rows[mine], self.column[at[mine]]] = weights[mine]
+        self.most = self.dense.reshape(blocks, BLOCK, -1).max(1)
+        self.block = np.arange(len(ids)) // BLOCK
+        at, weights, rows = at[~mine], weights[~mine], rows[~mine]
+        sort = np.argsort(at, kind="stable")
+        self.rows, self.weights = rows[sort], weights[sort]
+        self.start = np.searchsorted(at[sort], np.arange(terms + 1))
+
+    def near(self, at: np.ndarray, w: np.ndarray, but: list[int] | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the NEAR nearest examples with a positive cosine; rows ``but`` are left out."""
+        column = self.column[at]
+        often = column >= 0
+        low, n = self.start[at], self.start[at + 1] - self.start[at]
+        each = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        cosine = np.bincount(self.rows[each], self.weights[each] * np.repeat(w, n), len(self.ids))
+        column, w = column[often], w[often]
+        bound = cosine + (self.most[:, column] @ w)[self.block]
+        bound[list(but)] = 0.0
         rows, found, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] + 1e-6 < floor or bound[b] <= 0:
-                break
-            cosine = self.dense[b][:, at] @ w
-            hit = np.flatnonzero(cosine > max(floor - 1e-6, 0))
-            rows, found = np.concatenate([rows, hit + b * BLOCK]), np.concatenate([found, cosine[hit]])
-            if but >= 0:
-                found, rows = found[rows != but], rows[rows != but]
-            keep = np.lexsort((rows, -np.round(found, 6)))[:NEAR]
+        # First those with the best bounds, then all that can still be among the nearest.
+        some = 4 * NEAR
+        first = np.argpartition(-bound, some)[:some] if len(bound) > some else np.arange(len(bound))
+        for step in range(2):
+            more = first if step == 0 else np.flatnonzero(bound >= floor - 2e-6)
+            more = more[bound[more] > 0]
+            exact = np.round(cosine[more] + self.dense[more[:, None], column] @ w, 6)
+            bound[more] = -1.0
+            rows, found = np.concatenate([rows, more[exact > 0]]), np.concatenate([found, exact[exact > 0]])
+            keep = np.lexsort((rows, -found))[:NEAR]
             rows, found = rows[keep], found[keep]
             floor = found[-1] if len(found) == NEAR else 0.0
         return rows, found
 
-    def vote(self, at: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[float, np.ndarray]:
+    def vote(self, at: np.ndarray, w: np.ndarray, but: list[int] | tuple = ()) -> tuple[float, np.ndarray]:
         rows, cosine = self.near(at, w, but)
         return float((cosine * self.toxic[rows]).sum() / (cosine.sum() + SHRINK)), rows
 
 
-class Postings:
-    """Examples and weights per word; cosines of all examples at once."""
-
-    def __init__(self, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], words: int):
-        self.ids, self.toxic = ids, toxic.astype(float)
-        at = np.concatenate([a for a, _ in vectors])
-        order = np.argsort(at, kind="stable")
-        self.rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a, _ in vectors])[order]
-        self.weights = np.concatenate([w for _, w in vectors]).astype(np.float32)[order]
-        self.start = np.searchsorted(at[order], np.arange(words + 1))
-
-    def near(self, at: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the NEAR nearest examples with a positive cosine; ``but`` is left out."""
-        low, n = self.start[at], self.start[at + 1] - self.start[at]
-        each = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
-        cosine = np.round(np.bincount(self.rows[each], self.weights[each] * np.repeat(w, n), len(self.ids)), 6)
-        if but >= 0:
-            cosine[but] = 0
-        floor = np.partition(cosine, -NEAR)[-NEAR] if len(cosine) > NEAR else 0.0
-        hit = np.flatnonzero((cosine >= floor) & (cosine > 0))
-        hit = hit[np.argsort(-cosine[hit], kind="stable")][:NEAR]
-        return hit, cosine[hit]
-
-    vote = Index.vote
-
-
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y on x."""
     stack: list[list[float]] = []
@@ -244,56 +187,62 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """Weights, index of the examples with words, and knots from votes to probabilities (none: votes as they are)."""
+
     def __init__(self, weights: Weights, rows: list[tuple]):
-        """Rows are doc_id, toxic, chosen terms and weights, words and weights (of examples without chosen terms)."""
-        known = [(i, y, (np.array(a, np.int64), np.array(w)), (np.array(b, np.int64), np.array(v))) for i, y, a, w, b, v in rows]
-        filled, rest = [r for r in known if len(r[2][0])], [r for r in known if not len(r[2][0])]
-        self.weights = weights
-        self.blank = (sum(r[1] for r in rest) + sum(r[1] for r in known) / max(len(known), 1)) / (len(rest) + 1)
-        toxic = np.array([r[1] for r in filled], float)
-        self.index = Index([r[0] for r in filled], toxic, [r[2] for r in filled], len(weights.vocabulary)) if filled else None
-        if self.index:
-            self.knots = isotonic(np.array([self.index.vote(*r[2], but=self.index.place[k])[0] for k, r in enumerate(filled)]), toxic)
-        rest = [r for r in rest if len(r[3][0])]
-        toxic = np.array([r[1] for r in rest], float)
-        self.postings = Postings([r[0] for r in rest], toxic, [r[3] for r in rest], len(weights.words)) if rest else None
-        if self.postings:
-            self.word_knots = isotonic(np.array([self.postings.vote(*r[3], but=k)[0] for k, r in enumerate(rest)]), toxic)
-
-    def score(self, text: str | None, known: Finder) -> tuple[float, list]:
-        at, w = self.weights.vector(text, known)
-        index, knots = (self.index, self.knots) if len(at) and self.index else (self.postings, self.word_knots if self.postings else None)
-        if index is self.postings:
-            at, w = self.weights.word_vector(text) if index else (at, w)
-        if index is None or not len(at):
+        """Rows are doc_id, toxic, terms and weights."""
+        filled, blank = [r for r in rows if len(r[2])], [r[1] for r in rows if not len(r[2])]
+        self.weights, self.knots = weights, None
+        self.blank = (sum(blank) + sum(r[1] for r in rows) / max(len(rows), 1)) / (len(blank) + 1)
+        self.index = Index([r[0] for r in filled], np.array([r[1] for r in filled], float), [(np.asarray(r[2], np.int64), np.asarray(r[3])) for r in filled], len(weights.words)) if filled else None
+
+    def score(self, text: str | None) -> tuple[float, list]:
+        at, w = self.weights.vector(text)
+        if self.index is None or not len(at):
             return self.blank, []
-        vote, rows = index.vote(at, w)
+        vote, rows = self.index.vote(at, w)
         if not len(rows):
             return self.blank, []
         # A little of the vote itself keeps the order of votes inside one step.
-        return float(np.clip(0.98 * np.interp(vote, *knots) + 0.02 * vote, 0, 1)), [index.ids[r] for r in rows[:5].tolist()]
+        likely = np.interp(vote, *self.knots) if self.knots else vote
+        return float(np.clip(0.98 * likely + 0.02 * vote, 0, 1)), [self.index.ids[r] for r in rows[:5].tolist()]
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(select_terms(sample))
-    words = spark.sparkContext.broadcast(example_words(sample))
-    counts, word_counts = frequencies(docs, shared, words)
-    weights = Weights(shared.value, counts, words.value, word_counts)
-    sent = spark.sparkContext.broadcast(weights)
+    share = docs.sparkSession.sparkContext.broadcast
+    found = example_words(sample)
+    clean, toxic = (sample.agg(F.sum(F.when(F.col("toxic") == y, 1).otherwise(0)).alias("n")).head()["n"] or 0 for y in (0, 1))
+    words = share({w: k for k, w in enumerate(found.column("word").to_pylist())})
+    weights = Weights(words.value, frequencies(docs, words), found.column("bad").to_numpy(), found.column("good").to_numpy(), toxic, clean)
+    sent = share(weights)
     kind = sample.schema["doc_id"].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
-        known = Finder(weights.vocabulary)
         for batch in slices(batches, "text"):
-            got = [weights.vector(t, known) for t in texts(batch)]
-            more = [((), ()) if len(a) else weights.word_vector(t) for t, (a, _) in zip(texts(batch), got)]
-            lists = [pa.array([x[j] for x in side], pa.list_(k)) for side in (got, more) for j, k in ((0, pa.int64()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "weights", "words", "word_weights"])
+            got = [sent.value.vector(t) for t in texts(batch)]
+            lists = [pa.array([x[j] for x in got], pa.list_(k)) for j, k in ((0, pa.int64()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "weights"])
+
+    # At most LABELLED examples.
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<bigint>, weights array<double>").orderBy("doc_id").toArrow()
+    model = Model(weights, list(zip(*(c.to_pylist() if k < 2 else c.to_numpy() for k, c in enumerate(rows.columns)))))
+    if model.index is None:
+        return model
+    shared = share(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in slices(batches, "text"):
+            got = []
+            for i, text, y in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("toxic").to_pylist()):
+                at, w = model.weights.vector(text, own=y)
+                if len(at):
+                    got.append((model.index.vote(at, w, but=model.index.places.get(i, ()))[0], y))
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([y for _, y in got], pa.int32())], ["vote", "toxic"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<bigint>, weights array<double>, words array<bigint>, word_weights array<double>").orderBy("doc_id").toArrow()
-    return Model(weights, list(zip(*(c.to_pylist() if k < 2 else c.to_numpy() for k, c in enumerate(rows.columns)))))
+    own = sample.select("doc_id", "toxic", "text").mapInArrow(votes, "vote double, toxic int").toArrow()
+    model.knots = isotonic(own.column("vote").to_numpy(), own.column("toxic").to_numpy())
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -305,9 +254,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = Finder(model.weights.vocabulary)
         for batch in slices(batches, "text"):
-            got = [model.score(t, known) for t in texts(batch)]
+            got = [model.score(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(ids))], [*batch.schema.names[1:], "score", "predicted", "evidence"])
 
     return docs.select("text", *keep).mapInArrow(run, f"{columns}, score double, predicted int, evidence array<{kind}>")
