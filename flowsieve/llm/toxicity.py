@@ -17,7 +17,9 @@ examples every score is 0. Equal cosines go by the order of examples. An empty t
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +41,19 @@ SHRINK = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def packed(value: object) -> bytes:
+    return zlib.compress(pickle.dumps(value), 1)
+
+
+def unpacked(value: bytes) -> object:
+    return pickle.loads(zlib.decompress(value))
+
+
+def numbered(words: str) -> dict[str, int]:
+    """Numbers of words from a line each."""
+    return {w: k for k, w in enumerate(words.split("\n"))} if words else {}
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -64,12 +79,13 @@ def example_words(sample: DataFrame) -> pa.Table:
     return sample.mapInArrow(_example_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).orderBy("word").toArrow()
 
 
-def frequencies(docs: DataFrame, words) -> np.ndarray:
+def frequencies(docs: DataFrame, words: list[str]) -> np.ndarray:
     """Documents of the whole table that hold each word; the last entry counts all documents."""
-    size = len(words.value)
+    shared = docs.sparkSession.sparkContext.broadcast(packed("\n".join(words)))
+    size = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, total = words.value, np.zeros(size + 1, np.int64)
+        number, total = numbered(unpacked(shared.value)), np.zeros(size + 1, np.int64)
         for batch in slices(batches, "text"):
             for text in texts(batch):
                 total[[number[w] for w in set(words_of(text)) if w in number]] += 1
@@ -80,19 +96,23 @@ def frequencies(docs: DataFrame, words) -> np.ndarray:
     out = np.zeros(size + 1, np.int64)
     counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    shared.destroy()
     return out
 
 
 class Weights:
-    """Unit TF-IDF vectors over all words of the examples."""
+    """Unit TF-IDF vectors over all words of the examples. It travels as words and counts, packed."""
 
-    def __init__(self, words: dict[str, int], frequency: np.ndarray, bad: np.ndarray, good: np.ndarray, toxic: int, clean: int):
-        self.words, self.bad, self.good = words, bad, good
-        self.odds = clean / max(toxic, 1)
+    def __init__(self, words: list[str], frequency: np.ndarray, bad: np.ndarray, good: np.ndarray, odds: float):
+        self.frequency, self.bad, self.good, self.odds = frequency, bad, good, odds
+        self.words = {w: k for k, w in enumerate(words)}
         self.idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
         self.unseen = float(np.log(frequency[-1] + 1)) + 1
         self.factor = self.idf * self.relevance(bad, good)
 
+    def __reduce__(self) -> tuple:
+        return _weights, (packed(("\n".join(self.words), self.frequency, self.bad.astype(np.int32), self.good.astype(np.int32), self.odds)),)
+
     def relevance(self, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         """One for a word that no toxic example has."""
         return np.log2(2 + bad * self.odds / np.maximum(good, 1)) ** POWER
@@ -113,34 +133,48 @@ class Weights:
         return at, w / max(float(np.sqrt((w * w).sum() + (rest * rest).sum())), 1e-12)
 
 
+def _weights(state: bytes) -> Weights:
+    words, *counts = unpacked(state)
+    return Weights(list(numbered(words)), *counts)
+
+
 class Index:
-    """Block-max inverted index over the examples."""
+    """Block-max inverted index over the examples. It travels as posting lists of all terms, packed."""
 
     def __init__(self, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         # Examples with the same heaviest term stand together, so that blocks hold like vectors and their maxima are tight.
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]) if len(vectors[k][0]) else terms, k))
-        self.ids, self.toxic = [ids[k] for k in order], toxic[order].astype(float)
-        self.places: dict = {}
-        for row, i in enumerate(self.ids):
-            self.places.setdefault(i, []).append(row)
         at = np.concatenate([vectors[k][0] for k in order])
         weights = np.concatenate([vectors[k][1] for k in order]).astype(np.float32)
         rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(vectors[k][0]) for k in order])
-        often = np.bincount(at, minlength=terms)
+        sort = np.argsort(at, kind="stable")
+        self._build([ids[k] for k in order], toxic[order].astype(float), rows[sort], weights[sort], np.bincount(at, minlength=terms))
+
+    def _build(self, ids: list, toxic: np.ndarray, rows: np.ndarray, weights: np.ndarray, often: np.ndarray) -> None:
+        self.ids, self.toxic, self.lists = ids, toxic, (rows, weights, often)
+        self.places: dict = {}
+        for row, i in enumerate(ids):
+            self.places.setdefault(i, []).append(row)
         frequent = np.argsort(-often, kind="stable")[:FREQUENT]
         frequent = frequent[often[frequent] > 1]
-        self.column = np.full(terms, -1, np.int32)
+        self.column = np.full(len(often), -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         blocks = -(-len(ids) // BLOCK)
         self.dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
-        mine = self.column[at] >= 0
-        self.dense[rows[mine], self.column[at[mine]]] = weights[mine]
+        column = np.repeat(self.column, often)
+        mine = column >= 0
+        self.dense[rows[mine], column[mine]] = weights[mine]
         self.most = self.dense.reshape(blocks, BLOCK, -1).max(1)
         self.block = np.arange(len(ids)) // BLOCK
-        at, weights, rows = at[~mine], weights[~mine], rows[~mine]
-        sort = np.argsort(at, kind="stable")
-        self.rows, self.weights = rows[sort], weights[sort]
-        self.start = np.searchsorted(at[sort], np.arange(terms + 1))
+        self.rows, self.weights = rows[~mine], weights[~mine]
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.column >= 0, 0, often))])
+
+    def __getstate__(self) -> bytes:
+        rows, weights, often = self.lists
+        return packed((self.ids, self.toxic, rows, weights, often.astype(np.int32)))
+
+    def __setstate__(self, state: bytes) -> None:
+        self._build(*unpacked(state))
 
     def near(self, at: np.ndarray, w: np.ndarray, but: list[int] | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the NEAR nearest examples with a positive cosine; rows ``but`` are left out."""
@@ -187,7 +221,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights, index of the examples with words, and knots from votes to probabilities (none: votes as they are)."""
+    """Weights, index of the examples with words, knots from votes to probabilities, and the score of texts that have no neighbour."""
 
     def __init__(self, weights: Weights, rows: list[tuple]):
         """Rows are doc_id, toxic, terms and weights."""
@@ -204,16 +238,15 @@ class Model:
         if not len(rows):
             return self.blank, []
         # A little of the vote itself keeps the order of votes inside one step.
-        likely = np.interp(vote, *self.knots) if self.knots else vote
-        return float(np.clip(0.98 * likely + 0.02 * vote, 0, 1)), [self.index.ids[r] for r in rows[:5].tolist()]
+        return float(np.clip(0.98 * np.interp(vote, *self.knots) + 0.02 * vote, 0, 1)), [self.index.ids[r] for r in rows[:5].tolist()]
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
     share = docs.sparkSession.sparkContext.broadcast
     found = example_words(sample)
     clean, toxic = (sample.agg(F.sum(F.when(F.col("toxic") == y, 1).otherwise(0)).alias("n")).head()["n"] or 0 for y in (0, 1))
-    words = share({w: k for k, w in enumerate(found.column("word").to_pylist())})
-    weights = Weights(words.value, frequencies(docs, words), found.column("bad").to_numpy(), found.column("good").to_numpy(), toxic, clean)
+    words = found.column("word").to_pylist()
+    weights = Weights(words, frequencies(docs, words), found.column("bad").to_numpy(), found.column("good").to_numpy(), clean / max(toxic, 1))
     sent = share(weights)
     kind = sample.schema["doc_id"].dataType.simpleString()
 
@@ -225,6 +258,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
 
     # At most LABELLED examples.
     rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<bigint>, weights array<double>").orderBy("doc_id").toArrow()
+    sent.destroy()
     model = Model(weights, list(zip(*(c.to_pylist() if k < 2 else c.to_numpy() for k, c in enumerate(rows.columns)))))
     if model.index is None:
         return model
@@ -241,6 +275,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([y for _, y in got], pa.int32())], ["vote", "toxic"])
 
     own = sample.select("doc_id", "toxic", "text").mapInArrow(votes, "vote double, toxic int").toArrow()
+    shared.destroy()
     model.knots = isotonic(own.column("vote").to_numpy(), own.column("toxic").to_numpy())
     return model
 
