@@ -160,11 +160,11 @@ class Index:
         self.column = np.full(len(often), -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         blocks = -(-len(ids) // BLOCK)
-        self.dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+        self.dense = np.zeros((len(frequent), blocks * BLOCK), np.float32)
         column = np.repeat(self.column, often)
         mine = column >= 0
-        self.dense[rows[mine], column[mine]] = weights[mine]
-        self.most = self.dense.reshape(blocks, BLOCK, -1).max(1)
+        self.dense[column[mine], rows[mine]] = weights[mine]
+        self.most = self.dense.reshape(len(frequent), blocks, BLOCK).max(2)
         self.block = np.arange(len(ids)) // BLOCK
         self.rows, self.weights = rows[~mine], weights[~mine]
         self.start = np.concatenate([[0], np.cumsum(np.where(self.column >= 0, 0, often))])
@@ -184,7 +184,7 @@ class Index:
         each = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
         cosine = np.bincount(self.rows[each], self.weights[each] * np.repeat(w, n), len(self.ids))
         column, w = column[often], w[often]
-        bound = cosine + (self.most[:, column] @ w)[self.block]
+        bound = cosine + (w @ self.most[column])[self.block]
         bound[list(but)] = 0.0
         rows, found, floor = np.empty(0, np.int64), np.empty(0), 0.0
         # First those with the best bounds, then all that can still be among the nearest.
@@ -193,7 +193,9 @@ class Index:
         for step in range(2):
             more = first if step == 0 else np.flatnonzero(bound >= floor - 2e-6)
             more = more[bound[more] > 0]
-            exact = np.round(cosine[more] + self.dense[more[:, None], column] @ w, 6)
+            # A row of weights is read faster whole than in many places.
+            rest = w @ self.dense[column[:, None], more] if len(more) * 16 < len(bound) else (w @ self.dense[column])[more]
+            exact = np.round(cosine[more] + rest, 6)
             bound[more] = -1.0
             rows, found = np.concatenate([rows, more[exact > 0]]), np.concatenate([found, exact[exact > 0]])
             keep = np.lexsort((rows, -found))[:NEAR]
