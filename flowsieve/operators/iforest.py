@@ -167,6 +167,27 @@ def forest_sql(rows: str, features: list[str], trees: int = TREES, sample: int =
     return ",\n".join(parts)
 
 
+def _paths(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, path: np.ndarray, depth: int) -> np.ndarray:
+    """Each row's path lengths in all trees, added up."""
+    values, first, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+    node, at, value, cut, right = np.empty(len(x), np.int64), np.empty(len(x), np.int64), np.empty(len(x)), np.empty(len(x)), np.empty(len(x), bool)
+    for f, cuts, paths in zip(feature, threshold, path):
+        node[:] = 0
+        for _ in range(depth):
+            # Indices are in range; "clip" spares a copy of the output.
+            f.take(node, out=at, mode="clip")
+            at += first
+            values.take(at, out=value, mode="clip")
+            cuts.take(node, out=cut, mode="clip")
+            np.greater(value, cut, out=right)
+            node += node
+            node += 1
+            node += right
+        paths.take(node, out=value, mode="clip")
+        total += value
+    return total
+
+
 def forest_score(forest: DataFrame, x: Column) -> Column:
     """Anomaly score in (0, 1). The forest has a fixed size (trees x 2 * sample nodes) and travels with the task."""
     model = forest.orderBy("tree").toPandas()
@@ -180,15 +201,8 @@ def forest_score(forest: DataFrame, x: Column) -> Column:
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
         feature, threshold, path = shared.value
-        x = np.vstack(xs.to_numpy())
-        total = np.zeros(len(x))
-        for t in range(trees):
-            f, cut = feature[t], threshold[t]
-            node = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                value = np.take_along_axis(x, f[node][:, None], axis=1)[:, 0]
-                node = 2 * node + 1 + (value > cut[node])
-            total += path[t][node]
+        x = np.concatenate(xs.to_numpy()).reshape(len(xs), -1)
+        total = _paths(x, feature, threshold, path, depth)
         return pd.Series(np.power(2.0, -total / trees / scale) if scale > 0 else np.full(len(x), 0.5))
 
     return score(x)

@@ -5,7 +5,8 @@ convex combination w of all rows in which no row weighs more than 1 / (nu * n).
 the sums meet in a tree; w then becomes the shortest mix of all means found so far, a problem of a few dozen unknowns. It stops when the duality gap is small.
 
 Where the lowest nu * n rows end is found by counting all rows in bins of their score. Rows of the bin that holds the limit share the weight that is left. If that
-bin holds too many rows, the pass is made again with finer bins inside it. Every row takes part at any size, in the same way; nothing is sampled.
+bin holds too many rows, the pass is made again with finer bins inside it. Every row takes part at any size, in the same way; nothing is sampled. Equal rows have equal scores: they
+are folded into one point with a weight before the passes, which changes no sum.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.arrow import matrix
+from flowsieve.operators.knn import weighted_points
 from flowsieve.operators.sums import sum_vectors
+from flowsieve.session import durable
 
 FEATURES = 1024
 MAX_PASSES = 80
 BINS = 32
 # The bin of the limit may hold this share of nu * n rows.
 FINE = 0.01
-CHUNK = 2048
+# Rows worked on at a time: their features stay in the cache.
+CHUNK = 256
+# Rows to a part of the folded table, at most.
+POINTS = 2_000_000
 
 
 def clamp_nu(contamination: float) -> float:
@@ -52,7 +58,12 @@ class FeatureMap:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         along = (x @ self.frequencies).astype(np.float32)
-        return np.hstack([np.cos(along), np.sin(along)]) / np.float32(np.sqrt(along.shape[1]))
+        half = along.shape[1]
+        z = np.empty((len(x), 2 * half), np.float32)
+        np.cos(along, out=z[:, :half])
+        np.sin(along, out=z[:, half:])
+        z /= np.float32(np.sqrt(half))
+        return z
 
 
 @dataclass(frozen=True)
@@ -69,7 +80,7 @@ class Boundary:
 
 @dataclass(frozen=True)
 class Pass:
-    """One pass over all rows: their number and feature sums per score bin, and the least and largest score.
+    """One pass over all rows, folded into ``points`` (x, w): their number and feature sums per score bin, and the least and largest score.
 
     Bin 0 lies under ``edges[0]``, the last one from ``edges[-1]`` on; of that only the number is known."""
 
@@ -80,32 +91,33 @@ class Pass:
     high: float
 
     @staticmethod
-    def run(rows: DataFrame, features: FeatureMap, weights: np.ndarray, edges: np.ndarray) -> Pass:
+    def run(points: DataFrame, features: FeatureMap, weights: np.ndarray, edges: np.ndarray) -> Pass:
         size, bins = len(weights), len(edges) + 1
-        shared = rows.sparkSession.sparkContext.broadcast((features, weights, edges))
+        shared = points.sparkSession.sparkContext.broadcast((features, weights, edges))
 
         def collect(batches):
             features, weights, edges = shared.value
             count, sums, ends = np.zeros(bins), np.zeros((bins - 1, size)), [np.inf, -np.inf]
             for batch in batches:
-                x = matrix(batch.column("x"))
+                x, copies = matrix(batch.column("x")), batch.column("w").to_numpy()
                 for s in range(0, len(x), CHUNK):
+                    w = copies[s : s + CHUNK]
                     z = features(x[s : s + CHUNK])
                     score = z @ weights
                     place = np.searchsorted(edges, score, side="right")
-                    count += np.bincount(place, minlength=bins)
+                    count += np.bincount(place, w, bins)
                     mine = np.flatnonzero(place < bins - 1)
                     if len(mine):
                         onto = np.zeros((bins - 1, len(mine)), np.float32)
-                        onto[place[mine], np.arange(len(mine))] = 1
+                        onto[place[mine], np.arange(len(mine))] = w[mine]
                         sums += onto @ z[mine]
                     ends = [min(ends[0], score.min()), max(ends[1], score.max())]
             yield pa.RecordBatch.from_arrays([pa.array([[*count, *sums.ravel()]], pa.list_(pa.float64())), pa.array([ends[0]]), pa.array([ends[1]])], ["v", "low", "high"])
 
         # The sums of a task are some 300 kB; they are written nowhere and add up before they meet.
-        partial = rows.select("x").mapInArrow(collect, "v array<double>, low double, high double").withColumn("one", F.lit(1))
+        partial = points.select("x", "w").mapInArrow(collect, "v array<double>, low double, high double").withColumn("one", F.lit(1))
         ends = {"low": F.min("low"), "high": F.max("high")}
-        total = sum_vectors(partial, ["one"], rows.sparkSession.sparkContext.defaultParallelism, ends).first()
+        total = sum_vectors(partial, ["one"], points.sparkSession.sparkContext.defaultParallelism, ends).first()
         v = np.array(total["v"])
         return Pass(edges, v[:bins], v[bins:].reshape(bins - 1, size), total["low"], total["high"])
 
@@ -143,19 +155,26 @@ def shortest_mix(gram: np.ndarray, steps: int = 100_000) -> np.ndarray:
     return mix
 
 
+def _points(rows: DataFrame, count: int) -> DataFrame:
+    """(x, w) as a written table, spread over all cores however few points there are."""
+    parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, count // 250), count // POINTS)
+    return durable(weighted_points(rows.select("x")).select("x", "w").repartition(parts), "boundary")
+
+
 def fit_boundary(rows: DataFrame, count: int, d: int, gamma: float, nu: float, seed: int = 42, features: int = FEATURES,
                  max_passes: int = MAX_PASSES, tolerance: float = 1e-3) -> Boundary:
     """``rows`` holds ``x`` (array<double> of length d), ``count`` rows. A warning says so if ``max_passes`` passes are not enough."""
     shape = FeatureMap.draw(d, gamma, seed, features)
     mass = nu * count
     size = shape.frequencies.shape[1] * 2
-    start = Pass.run(rows, shape, np.zeros(size), np.array([1.0]))  # all rows in one bin: their mean
+    points = _points(rows, count)
+    start = Pass.run(points, shape, np.zeros(size), np.array([1.0]))  # all rows in one bin: their mean
     weights, means, passes, gap = start.sums[0] / count, [start.sums[0] / count], 1, np.inf
     cut, width = 0.0, 1.0
     while passes < max_passes:
         seen, edges = None, np.linspace(cut - width, cut + width, BINS + 1)
         while passes < max_passes:
-            seen = Pass.run(rows, shape, weights, edges)
+            seen = Pass.run(points, shape, weights, edges)
             passes += 1
             at = seen.limit_bin(mass)
             low, high = seen.span(at)
@@ -190,7 +209,7 @@ def boundary_score(rows: DataFrame, boundary: Boundary, x: Column) -> Column:
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
         b = shared.value
-        x = np.vstack(xs.to_numpy())
+        x = np.concatenate(xs.to_numpy()).reshape(len(xs), -1)
         return pd.Series(-b.scale * np.concatenate([(b.features(x[s : s + CHUNK]) @ b.weights).astype(float) for s in range(0, len(x), CHUNK)]))
 
     return score(x)

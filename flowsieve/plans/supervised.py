@@ -79,6 +79,8 @@ def f1_gap(supervised: DataFrame, supervised_f1: str, unsupervised_f1: float, di
 def compare_benchmark(df: DataFrame, features: list[str], truth: str, id_col: str, schema: str, threshold: float = 2.5,
                       contamination: float = 0.12, folds: int = 5, seed: int = 42) -> DataFrame:
     """One row: the vote's scores on the rows it was fitted on, logistic regression's out-of-fold scores, the gap."""
+    # The input may be a costly view; it is computed once.
+    df = durable(df.select(*[col(c) for c in dict.fromkeys((id_col, *features, truth))]), "benchmark-input")
     report = build_report(df, features, id_col, None, threshold, contamination, seed, keep=[truth])
     vote = method_metrics(report, truth, {"ensemble": "is_anomaly"}).first()
     totals = df.agg(F.count(F.lit(1)), F.sum(col(truth))).first()

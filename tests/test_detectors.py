@@ -204,6 +204,23 @@ def test_boundary_solves_its_own_problem(spark):
     assert np.allclose(again.weights, boundary.weights, atol=1e-4)
 
 
+def test_boundary_reads_equal_rows_once(spark, monkeypatch):
+    some = np.round(np.random.default_rng(4).normal(size=(30, 2)), 2)
+    copies = np.repeat(some, np.arange(10, 40), axis=0)
+    read, run = [], ocsvm.Pass.run
+
+    def counted(points, *rest):
+        read.append((points.count(), points.agg(F.sum("w")).first()[0]))
+        return run(points, *rest)
+
+    monkeypatch.setattr(ocsvm.Pass, "run", staticmethod(counted))
+    folded = fit_boundary(rows_of(spark, copies), len(copies), 2, 0.5, 0.12, features=64)
+    assert set(read) == {(30, len(copies))} and folded.converged
+    # The same rows, moved apart by next to nothing.
+    apart = fit_boundary(rows_of(spark, copies + np.arange(len(copies))[:, None] * 1e-12), len(copies), 2, 0.5, 0.12, features=64)
+    assert read[-1][0] > 30 and np.allclose(folded.weights, apart.weights, atol=1e-4)
+
+
 def test_boundary_warns_when_passes_run_out(spark):
     with pytest.warns(UserWarning, match="duality gap"):
         assert not fit_boundary(rows_of(spark, planted(200, 3, 5, 9)), 205, 3, 1 / 3, 0.1, max_passes=3).converged
