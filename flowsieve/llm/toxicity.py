@@ -7,7 +7,8 @@ text's length only. Every document is scored from its whole text.
 
 The index has posting lists of examples and weights. For the FREQUENT terms that most examples have it holds their weights by blocks of examples, with the
 largest weight of each block. A query adds up the lists of its other terms, which are short, then adds each block's maxima to get a bound per example, works out the examples with the
-best bounds, and after these all whose bound can still beat the NEAR nearest found, so the neighbours are exact. They vote with their cosine as
+best bounds, and after these all whose bound can still beat the NEAR nearest found, so the neighbours are exact. Where these are many, the queries of a batch meet a run of blocks as one
+matrix product in single precision, and only what its rounding leaves open is worked out again. They vote with their cosine as
 weight. Votes become probabilities by isotonic regression on the examples' own votes, each found without the rows of its id and with its own label taken out of the relevance.
 A text that shares no word with any example gets the toxic share of the examples without words, which leans on that of all. Evidence are the nearest examples' ids.
 
@@ -22,6 +23,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ from flowsieve.session import durable
 LABELLED = 12_000
 NEAR = 15
 BLOCK = 64
+# Queries that meet a run of so many blocks together, and the cells (query, example) they may have; the slack for cosines in single precision.
+TOGETHER, RUN, CELLS = 256, 16, 3_000_000
+SLACK = 1e-5
 FREQUENT = 1024
 POWER = 1.5
 SHRINK = 0.05
@@ -85,12 +90,13 @@ def frequencies(docs: DataFrame, words: list[str]) -> np.ndarray:
     size = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, total = numbered(unpacked(shared.value)), np.zeros(size + 1, np.int64)
+        number, total = numbered(unpacked(shared.value)), np.zeros(size + 2, np.int64)  # the last two: all documents, words of no example
         for batch in slices(batches, "text"):
             for text in texts(batch):
-                total[[number[w] for w in set(words_of(text)) if w in number]] += 1
-                total[-1] += 1
-        at = np.flatnonzero(total)
+                seen = set(words_of(text))
+                total[np.fromiter(map(number.get, seen, repeat(size + 1)), np.int64, len(seen))] += 1
+                total[size] += 1
+        at = np.flatnonzero(total[: size + 1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(size + 1, np.int64)
@@ -120,16 +126,16 @@ class Weights:
     def vector(self, text: str | None, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text; ``own`` is the label of an example whose own part in the relevance is taken out."""
         counts = Counter(words_of(text))
-        number = self.words
-        found = [(number[w], n) for w, n in counts.items() if w in number]
-        at = np.array([k for k, _ in found], np.int64)
-        w = 1 + np.log(np.array([n for _, n in found], float))
+        number = np.fromiter(map(self.words.get, counts, repeat(-1)), np.int64, len(counts))
+        times = np.fromiter(counts.values(), float, len(counts))
+        known = number >= 0
+        at = number[known]
+        w = 1 + np.log(times[known])
         if own is None:
             w *= self.factor[at]
         else:
             w *= self.idf[at] * self.relevance(self.bad[at] - own, self.good[at] - (1 - own))
-        rest = np.array([n for word, n in counts.items() if word not in number], float)
-        rest = (1 + np.log(rest)) * self.unseen
+        rest = (1 + np.log(times[~known])) * self.unseen
         return at, w / max(float(np.sqrt((w * w).sum() + (rest * rest).sum())), 1e-12)
 
 
@@ -178,34 +184,76 @@ class Index:
 
     def near(self, at: np.ndarray, w: np.ndarray, but: list[int] | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the NEAR nearest examples with a positive cosine; rows ``but`` are left out."""
-        column = self.column[at]
-        often = column >= 0
-        low, n = self.start[at], self.start[at + 1] - self.start[at]
-        each = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
-        cosine = np.bincount(self.rows[each], self.weights[each] * np.repeat(w, n), len(self.ids))
-        column, w = column[often], w[often]
-        bound = cosine + (w @ self.most[column])[self.block]
-        bound[list(but)] = 0.0
-        rows, found, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        # First those with the best bounds, then all that can still be among the nearest.
-        some = 4 * NEAR
-        first = np.argpartition(-bound, some)[:some] if len(bound) > some else np.arange(len(bound))
-        for step in range(2):
-            more = first if step == 0 else np.flatnonzero(bound >= floor - 2e-6)
-            more = more[bound[more] > 0]
-            # A row of weights is read faster whole than in many places.
-            rest = w @ self.dense[column[:, None], more] if len(more) * 16 < len(bound) else (w @ self.dense[column])[more]
-            exact = np.round(cosine[more] + rest, 6)
-            bound[more] = -1.0
-            rows, found = np.concatenate([rows, more[exact > 0]]), np.concatenate([found, exact[exact > 0]])
-            keep = np.lexsort((rows, -found))[:NEAR]
-            rows, found = rows[keep], found[keep]
-            floor = found[-1] if len(found) == NEAR else 0.0
-        return rows, found
-
-    def vote(self, at: np.ndarray, w: np.ndarray, but: list[int] | tuple = ()) -> tuple[float, np.ndarray]:
-        rows, cosine = self.near(at, w, but)
-        return float((cosine * self.toxic[rows]).sum() / (cosine.sum() + SHRINK)), rows
+        return self.nearest([(at, w, but)])[0]
+
+    def nearest(self, queries: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for many queries of terms, weights and rows to leave out."""
+        size = max(1, min(TOGETHER, CELLS // max(len(self.ids), 1)))
+        return [found for k in range(0, len(queries), size) for found in self._batch(queries[k : k + size])]
+
+    def _batch(self, queries: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        cosine, terms, found, open_ = np.empty((len(queries), len(self.ids))), [], [], []
+        for k, (at, w, but) in enumerate(queries):
+            column = self.column[at]
+            often = column >= 0
+            low, n = self.start[at], self.start[at + 1] - self.start[at]
+            each = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+            cosine[k] = np.bincount(self.rows.take(each), self.weights.take(each) * np.repeat(w, n), len(self.ids))
+            column, w = column[often], w[often]
+            terms.append((column, w))
+            bound = cosine[k] + (w.astype(np.float32) @ self.most[column])[self.block]
+            bound[list(but)] = 0.0
+            # First those with the best bounds, then all that can still be among the nearest.
+            some = 4 * NEAR
+            first = np.argpartition(-bound, some)[:some] if len(bound) > some else np.arange(len(bound))
+            first = first[bound[first] > 0]
+            best = self._keep(first, self._exact(cosine[k], column, w, first))
+            bound[first] = -1.0
+            found.append(best)
+            open_.append(np.flatnonzero(bound >= max(best[1][-1] - SLACK if len(best[1]) == NEAR else 0.0, 1e-12)))
+        for k, more in self._narrowed(cosine, terms, found, open_):
+            rows, exact = found[k]
+            found[k] = self._keep(np.concatenate([rows, more]), np.concatenate([exact, self._exact(cosine[k], *terms[k], more)]))
+        return found
+
+    def _exact(self, cosine: np.ndarray, column: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        # A row of weights is read faster whole than in many places.
+        rest = w @ self.dense.ravel().take(column[:, None] * np.int64(self.dense.shape[1]) + rows) if len(rows) * 16 < len(cosine) else (w @ self.dense[column])[rows]
+        return np.round(cosine[rows] + rest, 6)
+
+    @staticmethod
+    def _keep(rows: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, exact = rows[exact > 0], exact[exact > 0]
+        keep = np.lexsort((rows, -exact))[:NEAR]
+        return rows[keep], exact[keep]
+
+    def _narrowed(self, cosine: np.ndarray, terms: list[tuple], found: list[tuple], open_: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each query's open examples those that may be among the nearest by their cosines in single precision; a few are handed on as they are."""
+        wide = RUN * BLOCK
+        many = [k for k, more in enumerate(open_) if len(more) * 16 >= len(self.ids)]
+        weights, needs = np.zeros((len(many), len(self.dense)), np.float32), np.zeros((len(many), -(-len(self.ids) // wide)), bool)
+        for j, k in enumerate(many):
+            weights[j, terms[k][0]] = terms[k][1]
+            needs[j, open_[k] // wide] = True
+        rest = np.zeros((len(many), self.dense.shape[1]), np.float32)
+        for run in range(needs.shape[1]):
+            mine = np.flatnonzero(needs[:, run])
+            if len(mine):
+                rest[mine, run * wide : (run + 1) * wide] = weights[mine] @ self.dense[:, run * wide : (run + 1) * wide]
+        place = {k: j for j, k in enumerate(many)}
+        for k, more in enumerate(open_):
+            if k in place:
+                about = cosine[k, more] + rest[place[k], more]
+                # The last of the NEAR best, of those found and of these.
+                best = np.concatenate([found[k][1], about])
+                floor = np.partition(best, len(best) - NEAR)[len(best) - NEAR] if len(best) >= NEAR else 0.0
+                more = more[about >= floor - 2 * SLACK]
+            if len(more):
+                yield k, more
+
+    def votes(self, queries: list[tuple]) -> list[tuple[float, np.ndarray]]:
+        """Share of toxic neighbours, weighted by cosine, and the neighbours' rows, for queries as in ``nearest``."""
+        return [(float((cosine * self.toxic[rows]).sum() / (cosine.sum() + SHRINK)), rows) for rows, cosine in self.nearest(queries)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,14 +281,20 @@ class Model:
         self.index = Index([r[0] for r in filled], np.array([r[1] for r in filled], float), [(np.asarray(r[2], np.int64), np.asarray(r[3])) for r in filled], len(weights.words)) if filled else None
 
     def score(self, text: str | None) -> tuple[float, list]:
-        at, w = self.weights.vector(text)
-        if self.index is None or not len(at):
-            return self.blank, []
-        vote, rows = self.index.vote(at, w)
-        if not len(rows):
-            return self.blank, []
-        # A little of the vote itself keeps the order of votes inside one step.
-        return float(np.clip(0.98 * np.interp(vote, *self.knots) + 0.02 * vote, 0, 1)), [self.index.ids[r] for r in rows[:5].tolist()]
+        return self.scores([text])[0]
+
+    def scores(self, texts: list) -> list[tuple[float, list]]:
+        """Score and evidence of each text."""
+        out: list[tuple[float, list]] = [(self.blank, [])] * len(texts)
+        if self.index is None:
+            return out
+        vectors = [self.weights.vector(t) for t in texts]
+        asked = [k for k, (at, _) in enumerate(vectors) if len(at)]
+        for k, (vote, rows) in zip(asked, self.index.votes([(*vectors[k], ()) for k in asked])):
+            if len(rows):
+                # A little of the vote itself keeps the order of votes inside one step.
+                out[k] = float(np.clip(0.98 * np.interp(vote, *self.knots) + 0.02 * vote, 0, 1)), [self.index.ids[r] for r in rows[:5].tolist()]
+        return out
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
@@ -269,11 +323,13 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, "text"):
-            got = []
+            queries, labels = [], []
             for i, text, y in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("toxic").to_pylist()):
                 at, w = model.weights.vector(text, own=y)
                 if len(at):
-                    got.append((model.index.vote(at, w, but=model.index.places.get(i, ()))[0], y))
+                    queries.append((at, w, model.index.places.get(i, ())))
+                    labels.append(y)
+            got = [(vote, y) for (vote, _), y in zip(model.index.votes(queries), labels)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([y for _, y in got], pa.int32())], ["vote", "toxic"])
 
     own = sample.select("doc_id", "toxic", "text").mapInArrow(votes, "vote double, toxic int").toArrow()
@@ -292,7 +348,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, "text"):
-            got = [model.score(t) for t in texts(batch)]
+            got = model.scores(texts(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.list_(ids))], [*batch.schema.names[1:], "score", "predicted", "evidence"])
 
     return docs.select("text", *keep).mapInArrow(run, f"{columns}, score double, predicted int, evidence array<{kind}>")

@@ -48,3 +48,28 @@ def test_awkward_rows(spark):
     none = T.fit(docs, T.examples(docs, labels.where("false"), T.F.lit(True)))
     assert {r.score for r in T.score(docs, none, ["doc_id"]).collect()} == {0.0}
     assert T.score(docs.where("false"), model, ["doc_id"]).count() == 0
+
+
+def test_batched_queries_are_exact_and_few_examples_are_worked_out(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors, dense = [], np.zeros((2500, 60), np.float32)
+    for k in range(2500):
+        at = np.sort(rng.choice(60, rng.integers(8, 20), replace=False))
+        w = rng.random(len(at))
+        dense[k, at] = w / np.linalg.norm(w)
+        vectors.append((at, dense[k, at].astype(float)))
+    index = T.Index(list(range(2500)), rng.integers(0, 2, 2500), vectors, 60)
+    worked, exact = [], T.Index._exact
+
+    def counted(self, cosine, column, w, rows):
+        worked.append(len(rows))
+        return exact(self, cosine, column, w, rows)
+
+    monkeypatch.setattr(T.Index, "_exact", counted)
+    monkeypatch.setattr(T, "TOGETHER", 50)
+    got = index.nearest([(*vectors[k], index.places[k]) for k in range(120)])
+    for k, (rows, cosine) in enumerate(got):
+        every = dense @ dense[k]
+        every[k] = 0
+        assert np.allclose(cosine, np.sort(every)[::-1][: T.NEAR], atol=2e-6) and np.allclose(every[[index.ids[r] for r in rows]], cosine, atol=2e-6)
+    assert sum(worked) < 120 * 150  # bounds alone leave many hundreds open
