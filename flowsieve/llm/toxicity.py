@@ -40,6 +40,7 @@ BLOCK = 64
 # Queries that meet a run of so many blocks together, and the cells (query, example) they may have; the slack for cosines in single precision.
 TOGETHER, RUN, CELLS = 256, 16, 3_000_000
 SLACK = 1e-5
+SIGNS = 64
 FREQUENT = 1024
 POWER = 1.5
 SHRINK = 0.05
@@ -59,8 +60,26 @@ def numbered(words: str) -> dict[str, int]:
     return {w: k for k, w in enumerate(words.split("\n"))} if words else {}
 
 
+class Letters(dict):
+    """Whether a character belongs to words, remembered."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = WORD.match(c) is not None
+        return found
+
+
+LETTERS = Letters()
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The matches of WORD. What is no letter becomes a space, a character at a time, which is faster than the pattern unless there are many such characters."""
+    low = (text or "").lower()
+    others = [c for c in set(low) if not LETTERS[c]]
+    if len(others) > SIGNS:
+        return WORD.findall(low)
+    for c in others:
+        low = low.replace(c, " ")
+    return low.split()
 
 
 def examples(docs: DataFrame, labels: DataFrame, train: object) -> DataFrame:
@@ -171,7 +190,7 @@ class Index:
         mine = column >= 0
         self.dense[column[mine], rows[mine]] = weights[mine]
         self.most = self.dense.reshape(len(frequent), blocks, BLOCK).max(2)
-        self.block = np.arange(len(ids)) // BLOCK
+        self.examples = None  # the same by examples, made where it is first used
         self.rows, self.weights = rows[~mine], weights[~mine]
         self.start = np.concatenate([[0], np.cumsum(np.where(self.column >= 0, 0, often))])
 
@@ -201,11 +220,11 @@ class Index:
             cosine[k] = np.bincount(self.rows.take(each), self.weights.take(each) * np.repeat(w, n), len(self.ids))
             column, w = column[often], w[often]
             terms.append((column, w))
-            bound = cosine[k] + (w.astype(np.float32) @ self.most[column])[self.block]
+            bound = cosine[k] + (w.astype(np.float32) @ self.most[column]).repeat(BLOCK)[: len(self.ids)]
             bound[list(but)] = 0.0
             # First those with the best bounds, then all that can still be among the nearest.
             some = 4 * NEAR
-            first = np.argpartition(-bound, some)[:some] if len(bound) > some else np.arange(len(bound))
+            first = np.argpartition(bound, -some)[-some:] if len(bound) > some else np.arange(len(bound))
             first = first[bound[first] > 0]
             best = self._keep(first, self._exact(cosine[k], column, w, first))
             bound[first] = -1.0
@@ -217,8 +236,13 @@ class Index:
         return found
 
     def _exact(self, cosine: np.ndarray, column: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        # A row of weights is read faster whole than in many places.
-        rest = w @ self.dense.ravel().take(column[:, None] * np.int64(self.dense.shape[1]) + rows) if len(rows) * 16 < len(cosine) else (w @ self.dense[column])[rows]
+        # A row of weights is read faster whole than in many places; a few examples are read one by one.
+        if len(rows) * 16 < len(cosine):
+            if self.examples is None:
+                self.examples = np.ascontiguousarray(self.dense.T)
+            rest = self.examples[rows[:, None], column] @ w
+        else:
+            rest = (w @ self.dense[column])[rows]
         return np.round(cosine[rows] + rest, 6)
 
     @staticmethod

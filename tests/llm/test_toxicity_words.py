@@ -75,3 +75,26 @@ def test_repeated_rows_and_clashing_columns(spark):
     out = T.score(docs, T.fit(docs, T.examples(docs, labels, T.F.lit(True))), ["doc_id"])
     assert out.columns == ["doc_id", "score", "predicted", "evidence"]
     assert {(r.doc_id, r.predicted) for r in out.collect()} == {(k, k % 2) for k in range(20)} and out.count() == 60
+
+
+def test_words_are_the_matches_of_the_pattern():
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x20000)))
+    mixed = ["Ça va_bien, 3x naïve ÜBER ß ½ ², 漢字 x́y İi", "", None, "a\nb\tc\x1cd\x85e f", every, "".join(f"{chr(0x2500 + k)}w{chr(0xE9)}" for k in range(200))]
+    mixed += [every[k : k + 40] for k in range(0, len(every), 37)]
+    assert all(T.words_of(t) == T.WORD.findall((t or "").lower()) for t in mixed)
+    texts = ["so, (it) is: one-two; three." * 40] * 50
+    calls = []
+    T.LETTERS.clear()
+
+    class Counting:
+        match = staticmethod(T.WORD.match)
+
+        def findall(self, text):
+            calls.append(text)
+            return []
+
+    pattern, T.WORD = T.WORD, Counting()
+    try:
+        assert all(T.words_of(t) for t in texts) and not calls  # plain prose does without the pattern
+    finally:
+        T.WORD = pattern
