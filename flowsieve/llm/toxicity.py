@@ -166,17 +166,20 @@ def _weights(state: bytes) -> Weights:
 class Index:
     """Block-max inverted index over the examples. It travels as posting lists of all terms, packed."""
 
-    def __init__(self, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+    def __init__(self, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, ready: bool = True):
+        """Not ``ready``: blocks and lists are made when they are first searched, so that a driver which only sends the index on never holds them."""
         # Examples with the same heaviest term stand together, so that blocks hold like vectors and their maxima are tight.
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]) if len(vectors[k][0]) else terms, k))
         at = np.concatenate([vectors[k][0] for k in order])
         weights = np.concatenate([vectors[k][1] for k in order]).astype(np.float32)
         rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(vectors[k][0]) for k in order])
         sort = np.argsort(at, kind="stable")
-        self._build([ids[k] for k in order], toxic[order].astype(float), rows[sort], weights[sort], np.bincount(at, minlength=terms))
+        self.ids, self.toxic, self.lists, self.column = [ids[k] for k in order], toxic[order].astype(float), (rows[sort], weights[sort], np.bincount(at, minlength=terms)), None
+        if ready:
+            self._build()
 
-    def _build(self, ids: list, toxic: np.ndarray, rows: np.ndarray, weights: np.ndarray, often: np.ndarray) -> None:
-        self.ids, self.toxic, self.lists = ids, toxic, (rows, weights, often)
+    def _build(self) -> None:
+        ids, (rows, weights, often) = self.ids, self.lists
         self.places: dict = {}
         for row, i in enumerate(ids):
             self.places.setdefault(i, []).append(row)
@@ -199,7 +202,9 @@ class Index:
         return packed((self.ids, self.toxic, rows, weights, often.astype(np.int32)))
 
     def __setstate__(self, state: bytes) -> None:
-        self._build(*unpacked(state))
+        self.ids, self.toxic, *lists = unpacked(state)
+        self.lists = tuple(lists)
+        self._build()
 
     def near(self, at: np.ndarray, w: np.ndarray, but: list[int] | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the NEAR nearest examples with a positive cosine; rows ``but`` are left out."""
@@ -211,6 +216,8 @@ class Index:
         return [found for k in range(0, len(queries), size) for found in self._batch(queries[k : k + size])]
 
     def _batch(self, queries: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.column is None:
+            self._build()
         cosine, terms, found, open_ = np.empty((len(queries), len(self.ids))), [], [], []
         for k, (at, w, but) in enumerate(queries):
             column = self.column[at]
@@ -302,7 +309,7 @@ class Model:
         filled, blank = [r for r in rows if len(r[2])], [r[1] for r in rows if not len(r[2])]
         self.weights, self.knots = weights, None
         self.blank = (sum(blank) + sum(r[1] for r in rows) / max(len(rows), 1)) / (len(blank) + 1)
-        self.index = Index([r[0] for r in filled], np.array([r[1] for r in filled], float), [(np.asarray(r[2], np.int64), np.asarray(r[3])) for r in filled], len(weights.words)) if filled else None
+        self.index = Index([r[0] for r in filled], np.array([r[1] for r in filled], float), [(np.asarray(r[2], np.int64), np.asarray(r[3])) for r in filled], len(weights.words), ready=False) if filled else None
 
     def score(self, text: str | None) -> tuple[float, list]:
         return self.scores([text])[0]

@@ -73,3 +73,11 @@ def test_batched_queries_are_exact_and_few_examples_are_worked_out(monkeypatch):
         every[k] = 0
         assert np.allclose(cosine, np.sort(every)[::-1][: T.NEAR], atol=2e-6) and np.allclose(every[[index.ids[r] for r in rows]], cosine, atol=2e-6)
     assert sum(worked) < 120 * 150  # bounds alone leave many hundreds open
+
+
+def test_an_index_that_is_only_sent_on_holds_no_blocks():
+    vectors = [(np.array([k % 5]), np.array([1.0])) for k in range(20)]
+    index = T.Index(list(range(20)), np.zeros(20), vectors, 5, ready=False)
+    sent = T.pickle.loads(T.pickle.dumps(index))
+    assert not hasattr(index, "dense") and sent.dense.size
+    assert all(np.array_equal(a, b) for a, b in zip(sent.near(*vectors[3]), index.near(*vectors[3])))
