@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import Memo, mix, shingles, slices, table, texts, tidy
+from flowsieve.llm.common import Memo, mix, shingles, slices, small_batches, table, texts, tidy
 from flowsieve.session import durable
 
 GROUPS = 64
@@ -334,10 +334,16 @@ def _blocks(rule: Rule):
     return run
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one: a block is a wide row, and a copy of all in a batch would stand beside it."""
+    for k in range(len(batch)):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _delegates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Up to DELEGATES members of every part of a block, evenly over its sizes."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             parts: dict = {}
             for k, p in enumerate(row["part"]):
                 parts.setdefault(p, []).append(k)
@@ -349,7 +355,7 @@ def _delegates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cross(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 nodes, sets, labels = [], [], []
                 for side in ("x", "y"):
                     at = np.concatenate([[0], np.cumsum(row[side]["sizes"])])
@@ -367,7 +373,7 @@ def _cross(rule: Rule):
 def _range_blocks(points: DataFrame, rule: Rule, tag: str) -> DataFrame:
     """Blocks of points in order of cluster and size; written once, since ranges are drawn anew in every job."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(points.repartitionByRange(parts, "cluster", "size", "node").sortWithinPartitions("cluster", "size", "node").select("cluster", "node", "set").mapInArrow(_blocks(rule), BLOCK_SCHEMA), tag)
+    return durable(points.repartitionByRange(parts, "cluster", "size", "node").sortWithinPartitions("cluster", "size", "node").select("cluster", "node", "set").mapInArrow(tidy(_blocks(rule)), BLOCK_SCHEMA), tag)
 
 
 def verified_links(points: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
@@ -381,7 +387,7 @@ def verified_links(points: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame
         return links, None
     level = many
     while not level.isEmpty():
-        delegates = level.select("cluster", "nodes", "sizes", "sets", "part").mapInArrow(_delegates, "cluster long, node long, size long, set binary")
+        delegates = level.select("cluster", "nodes", "sizes", "sets", "part").mapInArrow(tidy(_delegates), "cluster long, node long, size long, set binary")
         rows = level.select(F.sum(F.size("nodes"))).head()[0]
         upper = _range_blocks(delegates, rule, "delegates")
         links = links.unionByName(upper.where("kind = 0").select("a", "b"))
@@ -401,7 +407,7 @@ def verified_links(points: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame
     # Two open blocks meet once; sizes too far apart never link.
     fits = (F.col("x.low") * rule.num <= F.col("y.high") * rule.den) & (F.col("y.low") * rule.num <= F.col("x.high") * rule.den)
     pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") != F.col("y.block")) & (~F.col("y.open") | (F.col("x.block") < F.col("y.block"))) & fits)
-    cross = durable(pairs.select(side("x"), side("y")).mapInArrow(_cross(rule), "a long, b long"), "cross")
+    cross = durable(pairs.select(side("x"), side("y")).mapInArrow(tidy(_cross(rule)), "a long, b long"), "cross")
     return links.unionByName(cross), roots if cross.isEmpty() else None
 
 
@@ -451,6 +457,11 @@ def _hard_links(docs: DataFrame, signed: DataFrame, hard: DataFrame, rule: Rule)
 
 def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, node, grp: rows with one ``grp`` are connected; null for empty sets."""
+    with small_batches(docs.sparkSession):
+        return _grouped(docs, rule)
+
+
+def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = durable(docs.mapInArrow(tidy(_signatures(rule), forget), f"doc_id {kind}, n_shingles long, node long"), "signed")

@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
 from flowsieve.llm import jaccard as J
+from flowsieve.llm.common import ARROW_BYTES, small_batches
 from test_jaccard import families, plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +50,25 @@ def test_very_long_text(spark):
     text = " ".join(f"w{k % 7919}x{k % 31}" for k in range(150_000))
     df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "something else entirely here")], "doc_id long, text string")
     assert kept(spark, df) == [1, 3]
+
+
+def test_wide_rows_reach_python_in_small_batches(spark, monkeypatch):
+    before, during, components = spark.conf.get(ARROW_BYTES), [], J.components
+
+    def watched(edges):
+        during.append(spark.conf.get(ARROW_BYTES))
+        return components(edges)
+
+    monkeypatch.setattr(J, "components", watched)
+    J.grouped(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), GENERAL).count()
+    assert during and all(size == "8000000" for size in during)
+    assert spark.conf.get(ARROW_BYTES) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    # 400 blocks of 64 KB. Sizes are looked at as a batch grows, so the last row may pass the limit.
+    blocks = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 65536) AS body")
+    with small_batches(spark):
+        assert max(r.n for r in blocks.mapInArrow(sizes, "n long").collect()) <= 8_200_000
