@@ -111,10 +111,11 @@ def frequencies(docs: DataFrame, words: list[str]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, total = numbered(unpacked(shared.value)), np.zeros(size + 2, np.int64)  # the last two: all documents, words of no example
         for batch in slices(batches, "text"):
+            seen = Counter()  # of a piece's words, each of which is looked up once
             for text in texts(batch):
-                seen = set(words_of(text))
-                total[np.fromiter(map(number.get, seen, repeat(size + 1)), np.int64, len(seen))] += 1
-                total[size] += 1
+                seen.update(set(words_of(text)))
+            total[np.fromiter(map(number.get, seen, repeat(size + 1)), np.int64, len(seen))] += np.fromiter(seen.values(), np.int64, len(seen))
+            total[size] += len(batch)
         at = np.flatnonzero(total[: size + 1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
@@ -212,12 +213,22 @@ class Index:
 
     def nearest(self, queries: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The same for many queries of terms, weights and rows to leave out."""
+        if self.column is None:
+            self._build()
         size = max(1, min(TOGETHER, CELLS // max(len(self.ids), 1)))
-        return [found for k in range(0, len(queries), size) for found in self._batch(queries[k : k + size])]
+        # Queries with the same most frequent terms (of one language, say) meet the examples together: they share few other terms with the rest.
+        order = sorted(range(len(queries)), key=lambda k: self._commonest(queries[k][0]))
+        out: list = [None] * len(queries)
+        for a in range(0, len(order), size):
+            for k, found in zip(order[a : a + size], self._batch([queries[k] for k in order[a : a + size]])):
+                out[k] = found
+        return out
+
+    def _commonest(self, at: np.ndarray) -> list[int]:
+        column = self.column[at]
+        return np.sort(column[column >= 0])[:6].tolist()
 
     def _batch(self, queries: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
-        if self.column is None:
-            self._build()
         cosine, terms, found, open_ = np.empty((len(queries), len(self.ids))), [], [], []
         for k, (at, w, but) in enumerate(queries):
             column = self.column[at]
@@ -266,11 +277,13 @@ class Index:
         for j, k in enumerate(many):
             weights[j, terms[k][0]] = terms[k][1]
             needs[j, open_[k] // wide] = True
+        used = np.flatnonzero(weights.any(0))
+        weights = np.ascontiguousarray(weights[:, used])
         rest = np.zeros((len(many), self.dense.shape[1]), np.float32)
         for run in range(needs.shape[1]):
             mine = np.flatnonzero(needs[:, run])
             if len(mine):
-                rest[mine, run * wide : (run + 1) * wide] = weights[mine] @ self.dense[:, run * wide : (run + 1) * wide]
+                rest[mine, run * wide : (run + 1) * wide] = weights[mine] @ self.dense[used, run * wide : (run + 1) * wide]
         place = {k: j for j, k in enumerate(many)}
         for k, more in enumerate(open_):
             if k in place:

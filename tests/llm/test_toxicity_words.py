@@ -98,3 +98,26 @@ def test_words_are_the_matches_of_the_pattern():
         assert all(T.words_of(t) for t in texts) and not calls  # plain prose does without the pattern
     finally:
         T.WORD = pattern
+
+
+def test_queries_of_like_terms_meet_the_examples_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    # Two languages that share no word, in turn; each has a word that is in all of its texts.
+    tongues = [[c + chr(97 + k % 26) + chr(97 + k // 26) for k in range(300)] for c in "xy"]
+    rows = [" ".join([("xthe", "ythe")[k % 2], *rng.choice(tongues[k % 2], 40)]) for k in range(400)]
+    counts = Counter(w for t in rows for w in set(T.words_of(t)))
+    words = sorted(counts)
+    seen = np.array([counts[w] for w in words])
+    weights = T.Weights(words, np.append(seen, len(rows)), seen // 2, seen - seen // 2, 1.0)
+    vectors = [weights.vector(t) for t in rows]
+    index = T.Index(list(range(400)), np.arange(400) % 3 == 0, vectors, len(words))
+    queries = [(*v, ()) for v in vectors[:40]]
+    alone = [index.nearest([q])[0] for q in queries]
+    met, batch = [], index._batch
+    monkeypatch.setattr(T, "TOGETHER", 20)
+    monkeypatch.setattr(index, "_batch", lambda own: met.append(own) or batch(own))
+    for (rows_, cosines), (rows_alone, cosines_alone) in zip(index.nearest(queries), alone):
+        assert rows_.tolist() == rows_alone.tolist() and cosines.tolist() == cosines_alone.tolist()
+    assert [len(own) for own in met] == [20, 20]
+    # Each batch has the terms of one language.
+    assert not set(np.concatenate([q[0] for q in met[0]])) & set(np.concatenate([q[0] for q in met[1]]))
