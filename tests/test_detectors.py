@@ -248,3 +248,30 @@ def test_report(spark, frame):
         build_report(df, ["f0"], "id", "nope")
     with pytest.raises(ValueError):
         build_report(df.withColumn("f0", F.when(F.col("id") > 3, F.col("f0"))), ["f0"], "id", on_dirty="error")
+
+
+def test_blocks_that_meet_most_others_travel_once_for_many(spark, monkeypatch):
+    x = np.random.default_rng(21).normal(size=(1500, 24))
+    points = lof.weighted_points(rows_of(spark, x))
+    blocks = knn.cut_into_blocks(points, len(x), 24, 10, 30)
+    assert knn.host_bits(blocks.count()) == 0 and knn.dense_bits(blocks, 24, 10, 30) == 3  # no more than a quarter of the blocks in a host
+    each = knn._route(blocks, 24, 10, 0).count()
+    assert knn._route(blocks, 24, 10, 0, bare=True).count() == each and knn._route(blocks, 24, 10, 3).count() < each / 4
+    monkeypatch.setattr(knn, "HOST_BYTES", 1)
+    assert knn.dense_bits(blocks, 24, 10, 30) == 0
+    monkeypatch.undo()
+    check_lof(spark, x, block_rows=30)
+
+
+def test_wide_rows_are_written_in_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(22)
+    table = session.durable(spark.createDataFrame([(rng.bytes(1 << 18),) for _ in range(64)], "x binary").coalesce(1), "wide", wide=True)
+    (path,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in table.inputFiles()}
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 64
+    assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) <= 24
+    assert spark.conf.get(session.ARROW_BYTES) == spark.newSession().conf.get(session.ARROW_BYTES)
