@@ -12,7 +12,8 @@ d = s * (1 - share) / share shingles, s being the smaller size.
    its shingles counted in GROUPS hash groups. The summed minima of two points (of a point and the largest counts of a box) bound the overlap; pairs that can
    reach the needed overlap are verified on the sets themselves, unless already connected.
 3. Blocks of one cluster. Some members of every part of a block meet in blocks of their own, level by level, which connects a large group in steps
-   linear in its size. Then only blocks that are not wholly in their cluster's largest component are held against the other blocks of the cluster.
+   linear in its size. Then only blocks that are not wholly in their cluster's largest component are held against the other blocks of the cluster. For that
+   a cluster's blocks, by size, are cut into chunks of bounded bytes; two chunks that can hold linked sets are a tile, and a task holds one chunk of a tile at a time.
 
 Links are a forest of verified pairs: every link between different texts is implied by the components, no pairs of a large group are listed.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ CLASS_RATIO = 1.5
 DELEGATES = 8
 BROADCAST_IDS = 1_000_000
 HARD_BLOCK = 2000
+# Of a cluster's blocks in one chunk, with SET_BYTES for each set's counts; and the parts a smaller cluster is cut into, so that its tiles spread.
+CHUNK_BYTES, SET_BYTES, CHUNKS = 16_000_000, 1_200, 12
 FLUSH = 500_000
 CONST = np.uint64(0x9E3779B97F4A7C15)
 
@@ -272,14 +275,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def link(sets: list[np.ndarray], labels: list, rule: Rule, split: int | None = None) -> tuple[list[tuple[int, int]], Forest]:
-    """Verified pairs that connect what has different labels so far. With ``split``, only pairs of one before and one after that position."""
+def link(sets: list[np.ndarray], labels: list, rule: Rule, split: int | None = None, tree: Tree | None = None, points: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], Forest]:
+    """Verified pairs that connect what has different labels so far. With ``split``, only pairs of one before and one after that position. ``tree`` (of the
+    sets after it) and ``points`` (of those before) may be given, if they are used again."""
     forest, pairs = Forest(labels), []
     left = range(split if split is not None else len(sets))
     right = range(split or 0, len(sets))
-    tree = Tree([sets[k] for k in right])
+    tree = tree or Tree([sets[k] for k in right])
     for i in left:
-        for j in (tree.reach(point(sets[i]), len(sets[i]), rule) + right.start).tolist():
+        for j in (tree.reach(points[i] if points else point(sets[i]), len(sets[i]), rule) + right.start).tolist():
             if j == i or forest.root(i) == forest.root(j):
                 continue
             if rule.linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
@@ -352,28 +356,73 @@ def _delegates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row["cluster"]] * len(picked), pa.int64()), pa.array([row["nodes"][k] for k in picked], pa.int64()), pa.array([len(row["sets"][at[k] : at[k + 1]]) for k in picked], pa.int64()), pa.array([row["sets"][at[k] : at[k + 1]] for k in picked], pa.binary())], ["cluster", "node", "size", "set"])
 
 
+class Block:
+    """A block of one side of a tile; its tree and points are made when they are first asked for."""
+
+    def __init__(self, row: dict):
+        at, body = np.concatenate([[0], np.cumsum(row["sizes"])]), np.frombuffer(row["sets"], np.uint64)
+        self.sets = [body[at[k] : at[k + 1]] for k in range(len(at) - 1)]
+        self.nodes, self.roots, self.open, self.low, self.high = (row[c] for c in ("nodes", "roots", "open", "low", "high"))
+
+    @cached_property
+    def tree(self) -> Tree:
+        return Tree(self.sets)
+
+    @cached_property
+    def points(self) -> list[np.ndarray]:
+        return [point(s) for s in self.sets]
+
+    def links(self, other: Block, rule: Rule) -> list[tuple[int, int]]:
+        """Links between the blocks. Of two blocks one at least is open; sizes too far apart never link."""
+        if not (self.open or other.open) or self.low * rule.num > other.high * rule.den or other.low * rule.num > self.high * rule.den:
+            return []
+        pairs, _ = link(self.sets + other.sets, self.roots + other.roots, rule, len(self.sets), other.tree, self.points)
+        return [(self.nodes[i], other.nodes[j - len(self.sets)]) for i, j in pairs]
+
+
 def _cross(rule: Rule):
+    """Blocks in order of tile and side: those of side 0 are held, those of side 1 meet them and go. In a tile of a chunk with itself all are of side 0, and each meets those before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
         for batch in batches:
             for row in rows_of(batch):
-                nodes, sets, labels = [], [], []
-                for side in ("x", "y"):
-                    at = np.concatenate([[0], np.cumsum(row[side]["sizes"])])
-                    body = np.frombuffer(row[side]["sets"], np.uint64)
-                    sets += [body[at[k] : at[k + 1]] for k in range(len(at) - 1)]
-                    nodes += row[side]["nodes"]
-                    labels += row[side]["roots"]
-                pairs, _ = link(sets, labels, rule, len(row["x"]["nodes"]))
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], ["a", "b"])
+                here = (row["cluster"], row["i"], row["j"])
+                if here != tile:
+                    tile, held = here, []
+                block = Block(row)
+                if row["side"] or row["i"] == row["j"]:
+                    pairs = [p for other in held for p in block.links(other, rule)]
+                    if pairs:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+                if not row["side"]:
+                    held.append(block)
 
     return run
 
 
+def _tiles(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of ``blocks`` once for every tile and side they have a part in: cluster, i, j, side and the block."""
+    order, whole = Window.partitionBy("cluster").orderBy("low", "block"), Window.partitionBy("cluster")
+    bytes_ = (F.length("sets") + SET_BYTES * F.size("nodes")).cast("long")
+    step = F.least(F.lit(CHUNK_BYTES), F.greatest(F.lit(CHUNK_BYTES // 16), F.sum("bytes").over(whole) / CHUNKS))
+    before = F.sum("bytes").over(order) - F.col("bytes")
+    chunk = blocks.select("cluster", "block", "open", "low", "high", bytes_.alias("bytes")).withColumn("chunk", F.floor(before / step).cast("long"))
+    chunk = durable(chunk, "chunks")
+    ends = chunk.groupBy("cluster", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"))
+    x, y = ends.alias("x"), ends.alias("y")
+    fits = (F.col("x.low") * rule.num <= F.col("y.high") * rule.den) & (F.col("y.low") * rule.num <= F.col("x.high") * rule.den)
+    tiles = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.chunk") <= F.col("y.chunk")) & (F.col("x.open") | F.col("y.open")) & fits)
+    tiles = durable(tiles.select(F.col("x.cluster").alias("cluster"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")), "tiles")
+    sides = tiles.select("cluster", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("side")).unionByName(tiles.where("i < j").select("cluster", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("side")))
+    # The wide rows are the right side, of which a join holds the rows of one key.
+    return sides.join(chunk.select("cluster", "chunk", "block"), ["cluster", "chunk"]).drop("chunk").join(blocks, ["cluster", "block"])
+
+
 def _range_blocks(points: DataFrame, rule: Rule, tag: str) -> DataFrame:
     """Blocks of points in order of cluster and size; written once, since ranges are drawn anew in every job."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(points.repartitionByRange(parts, "cluster", "size", "node").sortWithinPartitions("cluster", "size", "node").select("cluster", "node", "set").mapInArrow(tidy(_blocks(rule)), BLOCK_SCHEMA), tag)
+    return durable(points.repartitionByRange(parts, "cluster", "size", "node").sortWithinPartitions("cluster", "size", "node").select("cluster", "node", "set").mapInArrow(tidy(_blocks(rule)), BLOCK_SCHEMA), tag, wide=True)
 
 
 def verified_links(points: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
@@ -401,13 +450,9 @@ def verified_links(points: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame
     main = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     labelled = members.groupBy("cluster", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "root"))).alias("r"))
     blocks = many.join(labelled, ["cluster", "block"]).join(main, "cluster").select("cluster", "block", "nodes", "sizes", "sets", F.col("r.root").alias("roots"), F.exists("r.root", lambda x: x != F.col("main")).alias("open"), F.array_min("sizes").alias("low"), F.array_max("sizes").alias("high"))
-    blocks = durable(blocks, "labelled")
-    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("nodes", "sizes", "sets", "roots")]).alias(p)
-    x, y = blocks.where("open").alias("x"), blocks.alias("y")
-    # Two open blocks meet once; sizes too far apart never link.
-    fits = (F.col("x.low") * rule.num <= F.col("y.high") * rule.den) & (F.col("y.low") * rule.num <= F.col("x.high") * rule.den)
-    pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") != F.col("y.block")) & (~F.col("y.open") | (F.col("x.block") < F.col("y.block"))) & fits)
-    cross = durable(pairs.select(side("x"), side("y")).mapInArrow(tidy(_cross(rule)), "a long, b long"), "cross")
+    blocks = durable(blocks, "labelled", wide=True)
+    tiles = _tiles(blocks, rule).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "block")
+    cross = durable(tiles.select("cluster", "i", "j", "side", "nodes", "sizes", "sets", "roots", "open", "low", "high").mapInArrow(tidy(_cross(rule)), "a long, b long"), "cross")
     return links.unionByName(cross), roots if cross.isEmpty() else None
 
 

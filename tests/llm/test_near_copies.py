@@ -72,3 +72,30 @@ def test_wide_rows_reach_python_in_small_batches(spark, monkeypatch):
     blocks = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 65536) AS body")
     with small_batches(spark):
         assert max(r.n for r in blocks.mapInArrow(sizes, "n long").collect()) <= 8_200_000
+
+
+def test_blocks_of_one_cluster_meet_in_tiles_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHUNK_BYTES", 16 * 4000)
+    rng = np.random.default_rng(3)
+    blocks = []
+    for k in range(60):
+        low = 20 + 2 * k
+        sets = [np.sort(rng.integers(0, 2**63, low + j % 3).astype(np.uint64)) for j in range(4)]
+        if k % 5 == 4:  # linked with the block before
+            sets[0] = np.sort(np.append(blocks[-1][6][0], rng.integers(0, 2**63, low - len(blocks[-1][6][0])).astype(np.uint64)))
+        nodes = [10 * k + j for j in range(4)]
+        blocks.append((7, nodes[0], nodes, nodes, k % 7 != 0, [len(s) for s in sets], sets))
+    rows = [(c, b, n, s, np.concatenate(x).tobytes(), r, o, min(s), max(s)) for c, b, n, r, o, s, x in blocks]
+    df = spark.createDataFrame(rows, "cluster long, block long, nodes array<bigint>, sizes array<bigint>, sets binary, roots array<bigint>, open boolean, low long, high long")
+    tiles = J._tiles(df, GENERAL)
+    at = {}
+    for r in tiles.select("i", "j", "side", "block", "sets").collect():
+        at.setdefault((r.i, r.j), {}).setdefault(r.side, []).append(r)
+    assert len(at) > 12 and max(sum(len(r.sets) for r in sides[0]) for sides in at.values()) < 24_000 < sum(len(r[4]) for r in rows)
+    # Every two blocks of fitting sizes, one of them open, meet in one tile.
+    met = [tuple(sorted((a.block, b.block))) for (i, j), s in at.items() for a in s[0] for b in (s[0] if i == j else s.get(1, [])) if i < j or a.block < b.block]
+    assert len(met) == len(set(met))
+    fit = {tuple(sorted((a[1], b[1]))) for a in rows for b in rows if a[1] < b[1] and (a[6] or b[6]) and a[7] * 80 <= b[8] * 100 and b[7] * 80 <= a[8] * 100}
+    assert fit <= set(met)
+    found = tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "block").mapInArrow(J._cross(GENERAL), "a long, b long").collect()
+    assert sorted(tuple(sorted(p)) for p in found) == [(10 * (k - 1), 10 * k) for k in range(4, 60, 5)]
