@@ -84,3 +84,20 @@ def test_tasks_of_a_worker_share_the_common_words(monkeypatch):
     batch = S.pa.record_batch({"text": ["fox dog over fox", None], "doc_id": [1, 2], "held_out": [False, True]})
     one, two = ([s for out in run([batch]) for s in out.column("score").to_pylist()] for _ in range(2))
     assert one == two and spread.count(b"\0fox") == spread.count(b"\0dog") == 1
+
+
+def test_word_order_counts(spark):
+    rng = np.random.default_rng(5)
+    words, follows = [f"w{k}" for k in range(40)], rng.permutation(40)
+
+    def chain(start, n):
+        out = [start]
+        for _ in range(n - 1):
+            out.append(int(follows[out[-1]]) if rng.random() < 0.9 else int(rng.integers(40)))
+        return [words[k] for k in out]
+
+    rows = [(k, " ".join(chain(int(rng.integers(40)), 60)), "x") for k in range(300)]
+    texts = [chain(int(rng.integers(40)), 60) for _ in range(20)]
+    rows += [(1000 + k, " ".join(t), "x") for k, t in enumerate(texts)] + [(2000 + k, " ".join(t[::-1]), "x") for k, t in enumerate(texts)]
+    out = {r.doc_id: r.score for r in S.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), S.F.col("doc_id") >= 1000).collect()}
+    assert all(out[1000 + k] > out[2000 + k] + 5 for k in range(20)), out
