@@ -275,3 +275,19 @@ def test_wide_rows_are_written_in_small_row_groups(spark):
     assert sum(f.metadata.num_rows for f in files) == 64
     assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) <= 24
     assert spark.conf.get(session.ARROW_BYTES) == spark.newSession().conf.get(session.ARROW_BYTES)
+
+
+def test_rows_meet_their_factor_without_carrying_the_point(spark, monkeypatch):
+    x = planted(300, 3, 5, 7)
+    x[:40] = x[0]
+    made, kinds = lof.lof_scores(rows_of(spark, x), "id", "x"), []
+    assert "Exchange hashpartitioning" not in (plan := made._jdf.queryExecution().executedPlan().toString()) and "BroadcastExchange" in plan
+    monkeypatch.setattr(lof, "SENT", 10)
+    # Points that share a hash are told apart by their own numbers.
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(lof.F, "xxhash64", lambda c: F.lit(7).cast("bigint"))
+        kinds.append({r["id"]: round(r["lof"], 9) for r in lof.lof_scores(rows_of(spark, x[:60]), "id", "x").collect()})
+    assert kinds[0] == kinds[1] and len(kinds[0]) == 60
+    monkeypatch.undo()
+    assert {r["id"]: r["lof"] for r in made.collect()}.keys() == set(range(305))
